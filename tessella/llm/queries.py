@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tessella.llm.fingerprint import op9_fingerprints
 from tessella.llm.line_dedup import OP7_SQL, op7_line_dedup
+from tessella.llm.pii import op3_pii
 from tessella.llm.topk import OP4_SQL, op4_exact_topk
 
-QUERIES = {f.__name__: f for f in (op4_exact_topk, op7_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_pii, op4_exact_topk, op7_line_dedup, op9_fingerprints)}
 ORACLES = {"op4_exact_topk": OP4_SQL, "op7_line_dedup": OP7_SQL}
