@@ -39,8 +39,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Scores this much below the worst piece's make byte pieces the last resort.
 BYTE_PENALTY = 10.0
-#: Remembered cuts in a worker, and the longest one that is remembered.
+#: Remembered cuts in a worker, in two generations of this size, and the longest one that is remembered.
 CACHE_CUTS, CACHE_CHARS = 200_000, 40
+WORST = -1e300
 
 
 @dataclass
@@ -50,15 +51,17 @@ class Vocabulary:
     pieces: dict[str, tuple[int, float]]
     byte_ids: list[int]
     surfaces: list[str | None]
-    prefixes: dict[str, tuple[int, float]] = field(init=False, repr=False)
+    trie: dict = field(init=False, repr=False)
     longest: int = field(init=False)
 
     def __post_init__(self) -> None:
-        self.prefixes = {}
-        for piece in self.pieces:
-            for end in range(1, len(piece)):
-                self.prefixes.setdefault(piece[:end], (-1, 0.0))
-        self.prefixes |= self.pieces
+        # Nested dictionaries by character; the key 0 holds the score of the piece that ends there.
+        self.trie = {}
+        for piece, (_, score) in self.pieces.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[0] = score
         self.longest = max(map(len, self.pieces), default=1)
         self.fallback = min((s for _, s in self.pieces.values()), default=0.0) - BYTE_PENALTY
         self.of_byte = {b: i for i, b in enumerate(self.byte_ids)}
@@ -68,6 +71,7 @@ class Vocabulary:
         # Cuts at which every path converges; none are safe if a piece crosses a space.
         self.cuts = None if crossed else re.compile(r" +[^ \n]*|[^ \n]+|\n" if alone else r" +[^ ]*|[^ ]+")
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __reduce__(self):
         return Vocabulary, (self.pieces, self.byte_ids, self.surfaces)
@@ -102,68 +106,79 @@ class Vocabulary:
         for cut in self.cuts.findall(text):
             known = cache.get(cut)
             if known is None:
-                known = tuple(self.stream(cut))
-                if len(cut) <= CACHE_CHARS:
-                    if len(cache) >= CACHE_CUTS:
-                        cache.clear()
-                    cache[cut] = known
+                if len(cut) > CACHE_CHARS:
+                    ids.extend(self.stream(cut))
+                    continue
+                known = self.older.get(cut) or self._short(cut)
+                if len(cache) >= CACHE_CUTS:
+                    self.older, self.cache = cache, {}
+                    cache = self.cache
+                cache[cut] = known
             ids.extend(known)
         return ids
 
-    def stream(self, text: str) -> Iterator[int]:
-        """Ids of a text whose spaces are still spaces, committed as soon as the paths converge."""
-        prefixes, longest, fallback = self.prefixes, self.longest, self.fallback
+    def _short(self, text: str) -> tuple[int, ...]:
+        """Ids of a text that fits into one window."""
         n = len(text)
+        score, back = [0.0] + [WORST] * n, [0] * (n + 1)
+        self._relax(text.replace(MARK, "\0").replace(" ", MARK), 0, n, score, back)
+        return tuple(self._ids(text, back, n))
+
+    def _relax(self, marked: str, first: int, last: int, score: list[float], back: list[int]) -> None:
+        """Extends the paths at positions first .. last - 1 of `marked` by one piece."""
+        trie, fallback, n = self.trie, self.fallback, len(marked)
+        for start in range(first, last):
+            at = score[start]
+            node, end = trie, start
+            while end < n:
+                node = node.get(marked[end])
+                if node is None:
+                    break
+                end += 1
+                if 0 in node:
+                    total = at + node[0]
+                    if total > score[end]:
+                        score[end], back[end] = total, start
+            node = trie.get(marked[start])
+            if (node is None or 0 not in node) and at + fallback > score[start + 1]:
+                score[start + 1], back[start + 1] = at + fallback, start
+
+    def stream(self, text: str) -> Iterator[int]:
+        """Ids of a text whose spaces are still spaces; each step reads one maximum piece length, then commits what all paths share."""
+        longest, n = self.longest, len(text)
         # For position base + k: best score so far and the start of its last piece.
         base, score, back = 0, [0.0], [0]
-        for start in range(n):
-            at = score[start - base]
-            window = text[start : start + longest].replace(MARK, "\0").replace(" ", MARK)
-            single = False
-            for end in range(1, len(window) + 1):
-                found = prefixes.get(window[:end])
-                if found is None:
-                    break
-                if found[0] < 0:
-                    continue
-                single |= end == 1
-                k = start + end - base
-                while len(score) <= k:
-                    score.append(-1e300)
-                    back.append(base)
-                if at + found[1] > score[k]:
-                    score[k], back[k] = at + found[1], start
-            if not single:
-                k = start + 1 - base
-                if len(score) <= k:
-                    score.append(-1e300)
-                    back.append(base)
-                if at + fallback > score[k]:
-                    score[k], back[k] = at + fallback, start
-            if start + 1 - base >= 2 * longest and start + 1 < n:
-                boundary = self._converged(base, back, start + 1, len(score) - 1 + base)
-                if boundary > base:
-                    yield from self._ids(text, base, back, boundary)
-                    del score[: boundary - base], back[: boundary - base]
-                    base = boundary
-        yield from self._ids(text, base, back, n)
+        done = 0
+        while done < n:
+            step = min(n, done + longest)
+            missing = min(n, step + longest) + 1 - base - len(score)
+            score.extend([WORST] * missing)
+            back.extend([0] * missing)
+            marked = text[base : step + longest].replace(MARK, "\0").replace(" ", MARK)
+            self._relax(marked, done - base, step - base, score, back)
+            done = step
+            live = {p for p in range(done - base, len(score)) if score[p] > WORST}
+            boundary = self._converged(back, live) if done < n else 0
+            if boundary > 0:
+                yield from self._ids(text[base : base + boundary], back, boundary)
+                del score[:boundary], back[:boundary]
+                back = [b - boundary for b in back]
+                base += boundary
+        yield from self._ids(text[base:], back, n - base)
 
     @staticmethod
-    def _converged(base: int, back: list[int], first: int, last: int) -> int:
-        """The last boundary that the paths of all positions from first to last share."""
-        live = {p for p in range(first, last + 1)}
+    def _converged(back: list[int], live: set[int]) -> int:
+        """The last boundary that the paths of all live positions share."""
         while len(live) > 1:
             p = max(live)
-            if p == base:
-                return base
             live.remove(p)
-            live.add(back[p - base])
+            live.add(back[p])
         return live.pop()
 
-    def _ids(self, text: str, base: int, back: list[int], end: int) -> list[int]:
+    def _ids(self, text: str, back: list[int], end: int) -> list[int]:
         out: list[int] = []
-        while end > base:
-            start = back[end - base]
+        while end > 0:
+            start = back[end]
             piece = text[start:end]
             found = self.pieces.get(piece.replace(" ", MARK)) if MARK not in piece else None
             if found is None:

@@ -54,6 +54,15 @@ def test_viterbi_is_optimal_and_round_trips(vocabulary):
         assert score_of(vocabulary, streamed) == pytest.approx(score_of(vocabulary, ids))
 
 
+def test_stream_keeps_a_bounded_window(vocabulary, monkeypatch):
+    windows = []
+    converged = Vocabulary._converged
+    monkeypatch.setattr(Vocabulary, "_converged", staticmethod(lambda back, live: (windows.append(len(back)), converged(back, live))[1]))
+    text = "abcdefghij" * 5000
+    assert vocabulary.decode(list(vocabulary.stream(" " + text))) == text
+    assert max(windows) <= 6 * vocabulary.longest
+
+
 def test_vocabulary_whose_pieces_cross_spaces_streams_whole_texts():
     pieces = {p: (300 + i, s) for i, (p, s) in enumerate([(MARK, -3.0), ("a", -2.0), ("b", -2.0), (f"a{MARK}b", -1.0), ("ab", -3.5)])}
     v = Vocabulary(pieces, list(range(256)), [None] * 300 + [p.replace(MARK, " ") for p in pieces])
