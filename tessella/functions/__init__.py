@@ -1,0 +1 @@
+"""Per-sample and per-parameter integer functions as Spark columns."""

@@ -1,0 +1 @@
+"""Dataflow operators over rasters and files."""
