@@ -7,30 +7,32 @@ connected components.
 1. Signatures of COLUMNS min-hashes are computed document by document.
    Documents with equal sets (128-bit set hash) become one node.
 2. The forest: TREES sorted orders of the nodes, each by its own sequence
-   of signature columns.  A tree region is a run of nodes that share the
-   first DEPTH columns of its order; inside it nodes are sorted by the
-   following columns, so that the nearest rows are those with the longest
-   common prefix.  All orders are sorted together, by range, so a region
-   with a third of all rows spreads over many tasks.
-3. Candidates are rows within WINDOW places of each other in a region.
-   In a small region these are all pairs: it needs no more depth.  In a
-   large one the window reaches only rows with longer common prefixes, so
-   its depth adapts to the density.  Candidates must agree in size and in
-   a 64-column sketch, within six standard deviations of the threshold.
-4. First pass: every node confirms its few best nearest neighbours, and
-   components follow.  Second pass: candidates between different
+   of signature columns.  A region of a tree is a run of nodes that share
+   the first DEPTH columns of its order; inside it nodes are sorted by
+   the following columns, so that the nearest rows are those with the
+   longest common prefix.
+3. Depth adapts to density.  Regions of at most WINDOW nodes are searched
+   as they are: all orders are sorted together, by range, and rows of one
+   region are candidates of each other, if they agree in size and in a
+   64-column sketch, within six standard deviations of the threshold.
+   First every node confirms its few nearest neighbours by longest common
+   prefix, and components follow; then candidates between different
    components are confirmed, a few best for each pair of components, then
-   all that still join two components.  Last, large regions that still
-   hold several components are joined with themselves across components,
-   so that nothing depends on the window.  Links are always confirmed on
-   full shingle sets, fetched for the candidates alone.
+   all that still join two components.
+4. Larger regions are taken out of the orders.  Nodes that share one are
+   gathered into clusters; a cluster is cut by set size and hash into
+   blocks of about BLOCK nodes, and pairs of blocks that can hold links
+   compare their full sets in one task each.  A task returns a spanning
+   forest of its links, never all pairs.
+5. Links are always confirmed on full shingle sets, fetched only for the
+   nodes that need them.
 
 With TREES = 32 and DEPTH = 4 a pair at similarity 0.8 shares no region
 with probability (1 - 0.8**4)**32 = 5e-8.
 
 No stage gathers a group in one task: exact copies collapse by partial
-aggregation, regions are ranged, and large groups of near copies are
-linked through neighbours instead of all pairs.
+aggregation, region sizes are counted with map-side combine, regions
+searched whole have at most WINDOW nodes, and larger ones are blocked.
 
 Edge cases: null, empty or blank texts have an empty set and no links;
 fewer words than a shingle make one shingle; rows that repeat an id are
@@ -58,6 +60,8 @@ COLUMNS = TREES * DEPTH
 DEEPER = 8
 SKETCH = 64
 WINDOW = 64
+#: Nodes of a block, and the ratio of neighbouring set-size bands.
+BLOCK = 256
 #: Neighbours that a node confirms in the first pass; candidates confirmed first for each pair of components.
 FIRST, BEST = 3, 4
 BROADCAST_KEYS = 50_000
@@ -110,8 +114,8 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, ka long, kb long, sig binary")
 
 
-def _forest(nodes: DataFrame, partitions: int) -> DataFrame:
-    """A row for each node and tree, sorted: key (the tree and its first DEPTH columns), p1 and p2 (the deeper ones), node, n, component, s0..s3 (sketch)."""
+def _orders(nodes: DataFrame) -> DataFrame:
+    """A row for each node and tree: key (the tree and its first DEPTH columns), p1 and p2 (the deeper ones), node, n, component, s0..s3 (sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,14 +143,19 @@ def _forest(nodes: DataFrame, partitions: int) -> DataFrame:
                 out |= {f"s{i}": np.tile(w, TREES) for i, w in enumerate(words)}
                 yield pa.RecordBatch.from_pydict(out)
 
-    rows = nodes.select("node", "n", "component", "sig").mapInArrow(run, "key long, p1 long, p2 long, node long, n long, component long, s0 long, s1 long, s2 long, s3 long")
+    return nodes.select("node", "n", "component", "sig").mapInArrow(run, "key long, p1 long, p2 long, node long, n long, component long, s0 long, s1 long, s2 long, s3 long")
+
+
+def _forest(nodes: DataFrame, large: DataFrame, n_large: int, partitions: int) -> DataFrame:
+    """The orders without their large regions, sorted by range."""
     order = ["key", "p1", "p2", "node"]
+    rows = _orders(nodes).join(broadcast_if(large, n_large, BROADCAST_KEYS), "key", "left_anti")
     return rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
 FOREST = ["key", "node", "n", "component", "s0", "s1", "s2", "s3"]
 OUT = "kind int, key long, a long, b long, ca long, cb long, same int, at int, side int, place int, n long, component long, s0 long, s1 long, s2 long, s3 long"
-PAIR, HALO, LARGE = 0, 1, 2
+PAIR, HALO = 0, 1
 
 
 def _agreement(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -198,7 +207,7 @@ def _batch(kind: int, columns: dict[str, np.ndarray], size: int) -> pa.RecordBat
 
 
 def _scan(forest: DataFrame, reach: int, across: bool, percent: int) -> DataFrame:
-    """Candidates of the sorted forest; rows next to a partition's ends, for the pairs across; keys of regions larger than the window."""
+    """Candidates of the sorted forest, also across the ends of its partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -219,10 +228,6 @@ def _scan(forest: DataFrame, reach: int, across: bool, percent: int) -> DataFram
             pairs = _pairs(rows, held, reach, across, percent)
             if len(pairs["a"]):
                 yield _batch(PAIR, pairs, len(pairs["a"]))
-            key = rows["key"]
-            large = np.unique(key[reach:][key[reach:] == key[:-reach]]) if len(key) > reach else key[:0]
-            if across and len(large):
-                yield _batch(LARGE, {"key": large}, len(large))
             carry = {c: v[-reach:] for c, v in rows.items()}
         if seen:
             yield _halo(carry, at, 0, 0)
@@ -246,9 +251,8 @@ def _scan(forest: DataFrame, reach: int, across: bool, percent: int) -> DataFram
     return found.filter(F.col("kind") != HALO).unionByName(seams)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, s): the full shingle sets of the documents whose id is in ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,14 +263,78 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), values], names=["id", "s"])
 
-    sets = docs.join(ends, "id", "left_semi").mapInArrow(run, "id long, s array<long>")
-    sets = materialize(sets, "sets")
+    return materialize(docs.join(ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>"), "sets")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
     one, two = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     both = pairs.select("a", "b").join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
+    """A spanning forest of the links between the sides of a pair of blocks, from full sets."""
+    ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+    sets = [np.asarray(v.values) for v in table.column("s")]
+    sizes = np.array([len(v) for v in sets])
+    values, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    often = count[column] > 1
+    column, rows = number[column[often]], rows[often]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, rows = column[order], rows[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        low, high = np.searchsorted(column, (at, at + 2048))
+        held = np.zeros((len(sets), 2048), np.float32)
+        held[rows[low:high], column[low:high] - at] = 1
+        shared += held @ held.T
+    linked = (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) & ((side[:, None] != side[None, :]) | (side.max() == 0))
+    fresh, pairs = np.ones(len(sets), bool), []
+    for seed in range(len(sets)):
+        if not fresh[seed]:
+            continue
+        fresh[seed] = False
+        waiting = [seed]
+        while waiting:
+            at = waiting.pop()
+            for other in np.nonzero(linked[at] & fresh)[0]:
+                fresh[other] = False
+                waiting.append(other)
+                pairs.append((at, other))
+    one, two = (ids[[p[i] for p in pairs]] if pairs else ids[:0] for i in (0, 1))
+    return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
+
+
+def _large_region_links(nodes: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among nodes that share a large region.  members: (key, node)."""
+    hubs = members.groupBy("key").agg(F.min("node").alias("a"))
+    clusters = connected_components(members.join(hubs, "key").select("a", F.col("node").alias("b")))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    placed = nodes.select("node", "n").join(clusters, "node").select("node", F.col("component").alias("cluster"), band.alias("band"))
+    placed = materialize(placed, "clusters")
+    units = placed.groupBy("cluster", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("units"))
+    units = materialize(units.select("*", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit")), "units")
+    mine = placed.join(units.select("cluster", "band", "units").distinct(), ["cluster", "band"])
+    mine = mine.select("node", "cluster", "band", F.pmod(F.xxhash64("node"), F.col("units")).cast("int").alias("unit"))
+    # Every unit meets the units of its own band and of the next one, each pair of units once.
+    left = units.select("cluster", "band", "unit")
+    right = units.select("cluster", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("band2"), F.col("unit").alias("unit2"))
+    meetings = left.join(right, ["cluster", "band"]).filter((F.col("band2") > F.col("band")) | (F.col("unit2") >= F.col("unit")))
+    meetings = materialize(meetings.withColumn("meeting", F.monotonically_increasing_id()), "meetings")
+    first = mine.join(meetings, ["cluster", "band", "unit"]).select("meeting", F.lit(0).alias("side"), F.col("node").alias("id"))
+    apart = meetings.filter((F.col("band") != F.col("band2")) | (F.col("unit") != F.col("unit2")))
+    apart = apart.select("meeting", "cluster", F.col("band2").alias("band"), F.col("unit2").alias("unit"))
+    second = mine.join(apart, ["cluster", "band", "unit"]).select("meeting", F.lit(1).alias("side"), F.col("node").alias("id"))
+    sets = _sets(docs, placed.select(F.col("node").alias("id")), width)
+    dealt = first.unionByName(second).join(sets, "id")
+    return dealt.groupBy("meeting").applyInArrow(lambda t: _block_links(t, percent), "a long, b long")
+
+
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends are still in different components, with ca and cb (the smaller first)."""
     for c in "ab":
@@ -289,39 +357,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     several = linked.join(reps, ["ka", "kb"]).groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("id")
     edges = linked.join(broadcast_if(several, several.count(), BROADCAST_KEYS), "id").join(reps, ["ka", "kb"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
 
+    # Large regions: counted, then compared in blocks.
+    orders = _orders(nodes.withColumn("component", F.col("node"))).select("key", "node")
+    large = materialize(orders.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > WINDOW).select("key"), "large-regions")
+    n_large = large.count()
+    if n_large:
+        members = materialize(orders.join(broadcast_if(large, n_large, BROADCAST_KEYS), "key"), "members")
+        edges = edges.unionByName(_large_region_links(nodes, members, texts, shingle, percent))
+
     # First pass: nearest neighbours, a few best for each node.
-    near = _scan(_forest(nodes.withColumn("component", F.col("node")), partitions), 1, False, percent).filter(F.col("kind") == PAIR).select("a", "b", "same").distinct()
+    near = _scan(_forest(nodes.withColumn("component", F.col("node")), large, n_large, partitions), 1, False, percent).filter(F.col("kind") == PAIR).select("a", "b", "same").distinct()
     sides = near.select(F.explode(F.array(F.struct(F.col("a").alias("x")), F.struct(F.col("b").alias("x")))).alias("e"), "a", "b", "same").select("e.x", "a", "b", "same")
     rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("same"), F.xxhash64("a", "b")))
     first = materialize(sides.withColumn("r", rank).filter(F.col("r") <= FIRST).select("a", "b").distinct(), "first-pairs")
     edges = materialize(edges.unionByName(_confirm(first, texts, shingle, percent)), "links")
     labels = connected_components(edges)
 
-    # Second pass: everything within the window that would join two components.
+    # Second pass: everything in the regions that would join two components.
     labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    found = materialize(_scan(_forest(labelled, partitions), WINDOW, True, percent), "cross-candidates")
+    found = _scan(_forest(labelled, large, n_large, partitions), WINDOW, True, percent)
     pairs = found.filter(F.col("kind") == PAIR).select("a", "b", "same").distinct().join(first, ["a", "b"], "left_anti")
     edges, labels = _join_components(materialize(pairs, "cross-pairs"), texts, edges, labels, shingle, percent)
 
-    # Regions larger than the window that still hold several components, across components.
-    large = found.filter(F.col("kind") == LARGE).select("key").distinct()
-    large = materialize(large, "large-regions")
-    if not large.isEmpty():
-        labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        members = _forest(labelled, partitions).join(broadcast_if(large, large.count(), BROADCAST_KEYS), "key", "left_semi")
-        mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        mixed = materialize(mixed, "mixed-regions")
-        members = members.join(broadcast_if(mixed, mixed.count(), BROADCAST_KEYS), "key", "left_semi").select(*FOREST)
-        other = members.toDF(*[f"{c}_" if c != "key" else c for c in FOREST])
-        x = [F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_")) for i in range(4)]
-        x = [v.bitwiseOR(F.shiftrightunsigned(v, 2)) for v in x]
-        x = [v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(F.lit(0x1111111111111111)) for v in x]
-        same = F.lit(SKETCH) - sum((F.bit_count(v) for v in x), F.lit(0))
-        fits = (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")) & (same >= least_agreement(percent))
-        cross = members.join(other, (members["key"] == other["key"]) & (F.col("component") < F.col("component_")) & fits)
-        cross = cross.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"), same.alias("same")).distinct().join(pairs, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti")
-        edges, labels = _join_components(materialize(cross, "region-pairs"), texts, edges, labels, shingle, percent)
-
     # Components by their smallest id, for every row.
     reps = materialize(reps.join(labels, "node", "left").select("ka", "kb", F.coalesce("component", "node").alias("component_id")), "groups")
     out = sigs.join(reps, ["ka", "kb"], "left")

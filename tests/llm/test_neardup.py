@@ -60,10 +60,11 @@ def test_documents(spark):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()], 5)
 
 
-@pytest.mark.parametrize("window", [64, 3])
-def test_large_group_of_near_copies(spark, monkeypatch, window):
-    """Also with a window far smaller than the regions, so that the last pass has to find what it misses."""
+@pytest.mark.parametrize(("window", "block"), [(64, 256), (3, 16)])
+def test_large_group_of_near_copies(spark, monkeypatch, window, block):
+    """Also with regions far larger than what is searched whole, in many blocks."""
     monkeypatch.setattr(neardup, "WINDOW", window)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     r = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     rows = []
