@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
@@ -55,6 +55,7 @@ class Options:
     scans: Sequence[Scan] = ()
     restart_interval: int = 0
     strict: bool = False
+    max_bytes: int | None = None
 
 
 def segment(marker: int, payload: bytes) -> bytes:
@@ -178,6 +179,8 @@ def encode(planes: np.ndarray, bits: int, o: Options = Options()) -> bytes:
         first += s.components
     if o.options & OPTION_EVEN_SIZE and len(out) % 2:
         out += b"\xff"
+    if o.max_bytes is not None and len(out) + 2 > o.max_bytes:
+        raise JlsError("destination_too_small")
     return bytes(out + b"\xff\xd9")
 
 
@@ -541,11 +544,15 @@ def to_planes(buffer: bytes, width: int, height: int, bits: int, components: int
     return values.reshape(height, width, components).transpose(2, 0, 1)
 
 
-def from_planes(planes: np.ndarray, bits: int, ilv: int) -> bytes:
-    """The raw buffer of planes, in the layout of to_planes."""
+def from_planes(planes: np.ndarray, bits: int, ilv: int, stride: int = 0) -> bytes:
+    """The raw buffer of planes, in the layout of to_planes; the last line is not padded to the stride."""
     values = planes if ilv == PLANAR else planes.transpose(1, 2, 0)
-    return np.ascontiguousarray(values.astype("u1" if bits <= 8 else "<u2")).tobytes()
-
-
-def with_options(o: Options, **changes: Any) -> Options:
-    return replace(o, **changes)
+    raw = np.ascontiguousarray(values.astype("u1" if bits <= 8 else "<u2"))
+    rows = raw.view(np.uint8).reshape(planes.shape[0] * planes.shape[1] if ilv == PLANAR else planes.shape[1], -1)
+    if not stride or stride == rows.shape[1]:
+        return rows.tobytes()
+    if stride < rows.shape[1]:
+        raise JlsError("invalid_argument_stride")
+    padded = np.zeros((len(rows), stride), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    return padded.tobytes()[: stride * len(rows) - (stride - rows.shape[1])]

@@ -107,7 +107,6 @@ def image(*segments, data=b"\xdb\x95\xf0", end=b"\xff\xd9"):
 SOF = segment(0xF7, bytes.fromhex("020004000301011100"))
 SOS = segment(0xDA, bytes.fromhex("010100000000"))
 BAD = {
-    3: None, 1: None, 2: None,
     4: image(SOF, SOS)[:-2],
     5: image(SOF, SOS, data=b"\x00" * 40),
     6: image(segment(0xC0, b"")),
@@ -145,7 +144,7 @@ BAD = {
 }
 
 
-@pytest.mark.parametrize("errc", sorted(k for k, v in BAD.items() if v is not None))
+@pytest.mark.parametrize("errc", sorted(BAD))
 def test_malformed_files(errc):
     with pytest.raises(JlsError) as e:
         decode(BAD[errc])
@@ -166,3 +165,38 @@ def test_bad_arguments():
     with pytest.raises(JlsError) as e:
         decode(H45, max_bytes=3)
     assert e.value.errc == 1
+    with pytest.raises(JlsError) as e:
+        encode(p, 8, Options(max_bytes=20))
+    assert e.value.errc == 3
+    with pytest.raises(JlsError) as e:
+        from_planes(p, 8, 0, stride=1)
+    assert e.value.errc == 111
+
+
+TENS = bytes(range(10, 90, 10))
+ONES = b"".join(bytes([v, 1]) for v in TENS)
+PAIRS = bytes(12) + bytes([1, 10, 1, 20, 1, 30, 1, 40, 1, 50, 1, 60])
+#: Total sizes of small images: raw buffer, width and height, bits, components, interleave, transform, bytes.
+SIZES = [
+    (TENS, 2, 7, 2, 0, 0, 58), (TENS, 2, 7, 2, 1, 0, 47), (TENS, 2, 7, 2, 2, 0, 47), (TENS, 2, 8, 2, 0, 0, 53), (TENS, 2, 8, 2, 1, 0, 43), (TENS, 2, 8, 2, 2, 0, 43),
+    (ONES, 2, 15, 2, 0, 0, 52), (ONES, 2, 15, 2, 1, 0, 43), (ONES, 2, 15, 2, 2, 0, 43), (ONES, 2, 16, 2, 0, 0, 52), (ONES, 2, 16, 2, 1, 0, 44), (ONES, 2, 16, 2, 2, 0, 44),
+    (bytes([0, 10, 0, 20, 0, 30, 0, 40]), 2, 16, 1, 0, 0, 36), (TENS[:6], 1, 16, 3, 0, 0, 66), (TENS[:6], 1, 16, 3, 1, 0, 45), (PAIRS, 2, 16, 3, 2, 0, 51),
+    (TENS[:6], 1, 16, 3, 1, 1, 59), (TENS[:6], 1, 16, 3, 1, 2, 59), (TENS[:6], 1, 16, 3, 1, 3, 55), (TENS[:6], 1, 16, 3, 2, 1, 59), (TENS[:6], 1, 16, 3, 2, 2, 59), (TENS[:6], 1, 16, 3, 2, 3, 55),
+    (TENS[:4], 1, 8, 4, 0, 0, 75), (TENS[:4], 1, 8, 4, 1, 0, 47), (TENS[:4], 1, 8, 4, 2, 0, 47),
+]
+
+
+@pytest.mark.parametrize("case", SIZES)
+def test_golden_sizes(case):
+    raw, side, bits, n, ilv, transform, size = case
+    planes = to_planes(raw, side, side, bits, n, ilv)
+    out = encode(planes, bits, Options(ilv=ilv, transform=transform))
+    assert (decode(out)[1] == planes).all() and len(out) == size
+
+
+@pytest.mark.parametrize("ilv", (0, 1, 2))
+def test_strides(ilv):
+    p = np.random.default_rng(4).integers(0, 256, (3, 4, 5))
+    raw = from_planes(p, 8, ilv, stride=20)
+    assert len(raw) == (20 * 12 - 15 if ilv == 0 else 20 * 4 - 5)
+    assert (to_planes(raw, 5, 4, 8, 3, ilv, stride=20) == p).all()
