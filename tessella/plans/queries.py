@@ -15,6 +15,7 @@ from tessella.functions.errors import CODES, error_message
 from tessella.operators import corpus
 from tessella.operators.folds import encode_lossless
 from tessella.operators.template import contexts, modes, neighbours, runs
+from tessella.plans.malformed import BAD
 from tessella.plans.rasters import EMB_SQL, PRICE_SQL, RGB_SQL, RUN_SQL, embedding_lines, pixels, price_lines, rgb_lines, run_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -403,3 +404,10 @@ def p20_spiff_valid(spark, sf_dir):
 
 
 over_grid("w05_preset_decision", 600, {"bits": "id % 15 + 2", "jai": "id % 2", "own": "id % 3 div 2"}, {"written": lambda: (c("own") == 1) | ((c("jai") == 1) & (c("bits") > 12))}, {"written": "own = 1 OR (jai = 1 AND bits > 12)"})
+
+
+@query("p03_malformed_files", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {k}, '{CODES[k][1]}')" for k in sorted(BAD)) + ") t(image_id, errc, error_message)")
+def p03_malformed_files(spark, sf_dir):
+    """Every malformed file fails with its own code."""
+    images = spark.createDataFrame([(k, v) for k, v in BAD.items()], "image_id int, content binary").repartition(4)
+    return corpus.decode_images(images).select(c("image_id").cast("int").alias("image_id"), "errc", error_message(c("errc")).alias("error_message"))

@@ -65,3 +65,17 @@ def test_stream_of_files(spark, tmp_path):
     assert sum(r.errc != 0 for r in lines) == 1
     headers = rows(header_stream(spark, str(tmp_path / "in"), corpus.DROPMALFORMED), "headers")
     assert [r.frame.width for r in headers] == [4]
+
+
+def test_command_line(spark, tmp_path):
+    from tessella import cli
+
+    (tmp_path / "in").mkdir()
+    p = np.random.default_rng(1).integers(0, 256, (3, 6, 5))
+    (tmp_path / "in" / "a.pnm").write_bytes(netpbm.write_pnm(p, 8))
+    (tmp_path / "in" / "b.pnm").write_bytes(netpbm.write_pnm(p[:1] * 16, 12))
+    cli.main(["encode", str(tmp_path / "in"), str(tmp_path / "jls"), "--near", "1"], spark)
+    cli.main(["decode", str(tmp_path / "jls"), str(tmp_path / "out")], spark)
+    decoded = [netpbm.read_pnm(f.read_bytes())[0] for f in (tmp_path / "out").iterdir()]
+    assert sorted(len(d) for d in decoded) == [1, 3] and all(abs(d - (p if len(d) == 3 else p[:1] * 16)).max() <= 1 for d in decoded)
+    assert cli.main(["compare", str(tmp_path / "in"), str(tmp_path / "in")], spark).agg({"differing": "sum"}).first()[0] == 0
