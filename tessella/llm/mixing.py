@@ -35,12 +35,14 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import SPACE_CHARS, materialize
 
 BUCKET_BITS = 14
 FIT_ROWS = 20_000
 #: Weight of the common shares in a domain's, in features.
 PRIOR_FEATURES = 20_000.0
+#: A word in capitals.
+SHOUT = r"\p{Lu}{4}"
 MAX_STEPS, TOLERANCE = 40, 1e-4
 #: Domain token shares that op10 and the pipeline mix to.
 TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
@@ -53,25 +55,31 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Lower-cased words; string replacement and a one-character split avoid regular expressions."""
+    spaced = text
+    for c in SPACE_CHARS[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(F.lower(spaced), " "), "")
 
 
-def _features(words: Column) -> Column:
-    """Distinct buckets of lower-cased letter runs, of word ends, and of shouted words."""
+def _features(words: Column, shouted: Column) -> Column:
+    """Distinct buckets of words, of word ends, and of whether the text has a shouted word."""
     bucket = lambda tag, w: F.pmod(F.xxhash64(F.lit(tag), w), F.lit(1 << BUCKET_BITS)).cast("int")
-    letters = F.array_distinct(F.split(F.lower(F.array_join(words, " ")), r"[^\p{L}]+"))
-    ends = F.array_distinct(F.transform(words, lambda w: F.right(w, F.lit(2))))
-    shouted = F.array_distinct(F.transform(words, lambda w: (F.length(w) > 3) & (F.upper(w) == w)))
-    return F.array_distinct(F.concat(F.transform(letters, lambda w: bucket("word", w)), F.transform(ends, lambda w: bucket("end", w)), F.transform(shouted, lambda w: bucket("shout", w.cast("string")))))
+
+    def of(distinct: Column) -> Column:
+        ends = F.array_distinct(F.transform(distinct, lambda w: F.right(w, F.lit(2))))
+        return F.array_distinct(F.concat(F.transform(distinct, lambda w: bucket("word", w)), F.transform(ends, lambda e: bucket("end", e)), F.array(bucket("shout", shouted.cast("string")))))
+
+    return F.get(F.transform(F.array(F.array_distinct(words)), of), F.lit(0))
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], list[list[float]], list[float]]:
-    """docs (__id, __words), labelled (doc_id, domain) -> domains, log P(bucket | domain) by domain and bucket, log priors."""
+    """docs (__id, __words, __shouted), labelled (doc_id, domain) -> domains, log P(bucket | domain) by domain and bucket, log priors."""
     labelled = labelled.filter(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), "domain")
     span = 1 << 30
     share = min(span, fit_rows * span // max(1, labelled.count()) + 1)
     chosen = labelled.filter(F.pmod(F.xxhash64("__id"), F.lit(span)) < share)  # about fit_rows rows at most
-    seen = docs.join(F.broadcast(chosen), "__id").select("domain", _features(F.col("__words")).alias("f"))
+    seen = docs.join(F.broadcast(chosen), "__id").select("domain", _features(F.col("__words"), F.col("__shouted")).alias("f"))
     counts = seen.select("domain", F.explode(F.concat("f", F.array(F.lit(-1)))).alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n"))
     found = counts.collect()  # at most 2**BUCKET_BITS + 1 rows a domain
     totals = {r["domain"]: r["n"] for r in found if r["b"] == -1}
@@ -88,12 +96,11 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROW
     return domains, rates, [log(totals[d] / n) for d in domains]
 
 
-def _posteriors(words: Column, domains: list[str], rates: list[list[float]], priors: list[float]) -> Column:
+def _posteriors(features: Column, domains: list[str], rates: list[list[float]], priors: list[float]) -> Column:
     """array<double> of P(domain | text), in order of domains."""
     first = rates[0]
     # Log-odds against the first domain; each list folds into one literal.
     odds = [F.split(F.lit(",".join(f"{a - b:.5g}" for a, b in zip(rate, first, strict=True))), ",").cast("array<double>") for rate in rates[1:]]
-    features = _features(words)
     scores = F.transform(F.array(features), lambda f: F.array(F.lit(priors[0]), *[F.aggregate(f, F.lit(p), _adding(o)) for p, o in zip(priors[1:], odds, strict=True)]))[0]
     exps = F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(F.greatest(x - F.array_max(s), F.lit(-700.0)))))[0]
     return F.transform(F.array(exps), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))[0]
@@ -136,13 +143,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
     """
     extra = [F.col(f"`{c}`").alias(f"__carry{i}") for i, c in enumerate(carry)]
     base = docs.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"), *extra)
-    base = base.withColumn("__words", _words(F.col("__text")))
+    base = base.withColumns({"__words": _words(F.col("__text")), "__shouted": F.col("__text").rlike(SHOUT)})
     domains, rates, priors = fit_classifier(base, labelled, fit_rows)
     names = [F.col(f"__carry{i}").alias(c) for i, c in enumerate(carry)]
     tokens, draw = F.size("__words").cast("long"), F.pmod(F.xxhash64("__id", "__text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     if not domains:
         return base.select(F.col("__id").alias(id_col), *names, tokens.alias("tokens"), F.create_map().cast("map<string,double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
-    rated = base.select("__id", *[f"__carry{i}" for i in range(len(carry))], tokens.alias("__tokens"), draw.alias("__draw"), _posteriors(F.col("__words"), domains, rates, priors).alias("__p"))
+    rated = base.select("__id", *[f"__carry{i}" for i in range(len(carry))], tokens.alias("__tokens"), draw.alias("__draw"), _posteriors(_features(F.col("__words"), F.col("__shouted")), domains, rates, priors).alias("__p"))
     rated = materialize(rated, "posteriors")
     posterior = [F.get("__p", F.lit(i)) for i in range(len(domains))]
     shares = [targets.get(d, 0.0) for d in domains]
