@@ -28,6 +28,7 @@ to the smaller language name; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
@@ -126,6 +127,13 @@ class KneserNey:
         return p
 
 
+def _distinct_grams(points: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The chains of a text's distinct grams of full order, and those one position before."""
+    g = chains(points)
+    at = np.unique(g[-1][ORDER:], return_index=True)[1] + ORDER
+    return [x[at] for x in g], [x[at - 1] for x in g]
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -145,11 +153,10 @@ class LanguageModel:
         models = [KneserNey.fit(points[k]) for k in languages]
         if not languages:
             return LanguageModel([], [], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))
-        every = np.concatenate([points[k] for k in languages])
-        g = chains(every)
-        keys, at = np.unique(g[-1][ORDER:], return_index=True)
-        at += ORDER
-        shown = [x[at] for x in g], [x[at - 1] for x in g]
+        # The grams of each language, then of all, each once with its chain and the chain before it.
+        parts = [_distinct_grams(points[k]) for k in languages]
+        keys, at = np.unique(np.concatenate([p[0][-1] for p in parts]), return_index=True)
+        shown = tuple([np.concatenate([p[side][o] for p in parts])[at] for o in range(ORDER)] for side in (0, 1))
         rows = np.stack([np.log2(m.probability(*shown)) for m in models], axis=1).astype(np.float32)
         model = LanguageModel(languages, models, keys, rows)
         return model._calibrate([(languages.index(k), t) for k in languages for t in held.get(k, ())])
@@ -243,10 +250,18 @@ def fit(docs: DataFrame, usable: Column | None = None, docs_per_language: int =
         return LanguageModel.fit({}, {})
     span = 1 << 30
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(span, 2 * docs_per_language * span // n + 1))) for k, n in counts.items()])
+    sample = rows.filter(F.pmod("h", F.lit(span)) < limit).repartition(1)
+    # The sample is bounded; one task fits it, so that the driver holds no more than the model.
+    return pickle.loads(sample.mapInArrow(_fit_sample, "model binary").first()["model"])
+
+
+def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, text, h) -> one pickled model; every other row of a language, by h, is held out to calibrate."""
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["h"], r["text"]))
     fitted, held = {}, {}
-    for r in sorted(rows.filter(F.pmod("h", F.lit(span)) < limit).collect(), key=lambda r: (r["h"], r["text"])):
+    for r in rows:
         (fitted if len(fitted.setdefault(r["lang"], [])) <= len(held.setdefault(r["lang"], [])) else held)[r["lang"]].append(r["text"])
-    return LanguageModel.fit(fitted, held)
+    yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(LanguageModel.fit(fitted, held))]})
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:

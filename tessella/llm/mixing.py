@@ -5,9 +5,9 @@ document a posterior over domains.  Its features are which hashed words a
 text has, the ends of its words, and whether it shouts.  Projected
 gradient least squares then finds document rates r >= 0 whose expected
 domain token totals, t_k = sum_d r_d tokens_d p_dk, match the targets
-b_k: it minimises sum_k (t_k - b_k)^2 / s_k with s_k = sum_d tokens_d
-p_dk, starting from r = 1, with steps scaled by 1 / tokens_d, and
-projects on [0, max_rate] (on [1, max_rate] for documents that most
+b_k: it minimises (t - b)' M^-1 (t - b) with M_kl = sum_d tokens_d p_dk
+p_dl, starting from r = 1, in the norm weighted by tokens_d, where a full
+step is safe and, but for the projection, exact.  It projects on [0, max_rate] (on [1, max_rate] for documents that most
 likely belong to `keep`).  A step needs only the K domain totals, one
 distributed aggregation; a document's rate is a chain of codegen
 expressions of its posteriors, so nothing is gathered by document.
@@ -30,8 +30,8 @@ ignored except `carry`.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +43,7 @@ FIT_ROWS = 20_000
 PRIOR_FEATURES = 20_000.0
 #: A word in capitals.
 SHOUT = r"\p{Lu}{4}"
-MAX_STEPS, TOLERANCE = 40, 1e-4
+MAX_STEPS, TOLERANCE = 12, 1e-3
 #: Domain token shares that op10 and the pipeline mix to.
 TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
 
@@ -73,7 +73,7 @@ def _features(words: Column, shouted: Column) -> Column:
     return F.get(F.transform(F.array(F.array_distinct(words)), of), F.lit(0))
 
 
-def fit_classifier(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], list[list[float]], list[float]]:
+def fit_classifier(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """docs (__id, __words, __shouted), labelled (doc_id, domain) -> domains, log P(bucket | domain) by domain and bucket, log priors."""
     labelled = labelled.filter(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), "domain")
     span = 1 << 30
@@ -81,26 +81,28 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROW
     chosen = labelled.filter(F.pmod(F.xxhash64("__id"), F.lit(span)) < share)  # about fit_rows rows at most
     seen = docs.join(F.broadcast(chosen), "__id").select("domain", _features(F.col("__words"), F.col("__shouted")).alias("f"))
     counts = seen.select("domain", F.explode(F.concat("f", F.array(F.lit(-1)))).alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n"))
-    found = counts.collect()  # at most 2**BUCKET_BITS + 1 rows a domain
-    totals = {r["domain"]: r["n"] for r in found if r["b"] == -1}
-    domains, size = sorted(totals), 1 << BUCKET_BITS
-    table = {d: [0] * size for d in domains}
-    for r in found:
-        if r["b"] >= 0:
-            table[r["domain"]][r["b"]] = r["n"]
-    every = [sum(table[d][b] for d in domains) for b in range(size)]
-    n, seen_in_all = sum(totals.values()), sum(every) + 0.5 * size
+    found = counts.toArrow()  # at most 2**BUCKET_BITS + 1 rows a domain
+    names, buckets, n = (found.column(c).to_numpy(zero_copy_only=False) for c in ("domain", "b", "n"))
+    domains, size = sorted({*names[buckets == -1].tolist()}), 1 << BUCKET_BITS
+    if not domains:
+        return [], np.zeros((0, size)), np.zeros(0)
+    table, totals = np.zeros((len(domains), size)), np.zeros(len(domains))
+    for i, d in enumerate(domains):
+        mine = names == d
+        totals[i] = n[mine & (buckets == -1)].sum()
+        seen = mine & (buckets >= 0)
+        table[i, buckets[seen]] = n[seen]
     # Shares of a domain's features, smoothed towards the bucket's share in all labelled documents.
-    mass = {d: sum(table[d]) + PRIOR_FEATURES for d in domains}
-    rates = [[log((table[d][b] + PRIOR_FEATURES * (every[b] + 0.5) / seen_in_all) / mass[d]) for b in range(size)] for d in domains]
-    return domains, rates, [log(totals[d] / n) for d in domains]
+    common = table.sum(axis=0) + 0.5
+    smoothed = table + PRIOR_FEATURES * common / common.sum()
+    return domains, np.log(smoothed / smoothed.sum(axis=1, keepdims=True)), np.log(totals / totals.sum())
 
 
-def _posteriors(features: Column, domains: list[str], rates: list[list[float]], priors: list[float]) -> Column:
+def _posteriors(features: Column, rates: np.ndarray, priors: np.ndarray) -> Column:
     """array<double> of P(domain | text), in order of domains."""
-    first = rates[0]
     # Log-odds against the first domain; each list folds into one literal.
-    odds = [F.split(F.lit(",".join(f"{a - b:.5g}" for a, b in zip(rate, first, strict=True))), ",").cast("array<double>") for rate in rates[1:]]
+    odds = [F.split(F.lit(",".join(f"{x:.5g}" for x in rate)), ",").cast("array<double>") for rate in (rates[1:] - rates[0]).tolist()]
+    priors = priors.tolist()
     scores = F.transform(F.array(features), lambda f: F.array(F.lit(priors[0]), *[F.aggregate(f, F.lit(p), _adding(o)) for p, o in zip(priors[1:], odds, strict=True)]))[0]
     exps = F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(F.greatest(x - F.array_max(s), F.lit(-700.0)))))[0]
     return F.transform(F.array(exps), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))[0]
@@ -114,6 +116,13 @@ def fit_rates(docs: DataFrame, posterior: Sequence[Column], targets: Sequence[fl
     """The rate expression, the domain totals that it reaches and those wanted.  total: wanted tokens in all (those of docs if None); anchor: the domain whose own tokens set the total instead."""
     k = len(posterior)
 
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    row = docs.agg(*[F.sum(tokens * posterior[i] * posterior[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
+    gram = np.zeros((k, k))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = float(row[f"m{i}_{j}"] or 0.0)
+    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
+
     def totals(rate: Column) -> list[float]:
         row = docs.agg(*[F.sum(rate * tokens * p).alias(f"t{i}") for i, p in enumerate(posterior)]).first()
         return [float(v or 0.0) for v in row]
@@ -123,13 +132,14 @@ def fit_rates(docs: DataFrame, posterior: Sequence[Column], targets: Sequence[fl
     wanted = [budget * t for t in targets]
     rate, reached = F.lit(1.0), have
     for _ in range(MAX_STEPS):
-        off = [(reached[i] - wanted[i]) / max(have[i], 1e-9) for i in range(k)]
+        # One number a domain is all that leaves the executors.
+        off = (inverse @ (np.array(reached) - np.array(wanted))).tolist()
         if max((abs(reached[i] - wanted[i]) for i in range(k)), default=0.0) <= TOLERANCE * max(budget, 1e-9):
             break
         moved = rate - sum((F.lit(off[i]) * posterior[i] for i in range(k)), F.lit(0.0))
         rate = F.least(F.greatest(moved, floor), F.lit(float(max_rate)))
         before, reached = reached, totals(rate)
-        if max(abs(a - b) for a, b in zip(before, reached, strict=True)) <= 1e-3 * TOLERANCE * max(budget, 1e-9):
+        if max(abs(a - b) for a, b in zip(before, reached, strict=True)) <= 0.1 * TOLERANCE * max(budget, 1e-9):
             break  # the projection lets the totals go no nearer
     return rate, reached, wanted
 
@@ -149,18 +159,20 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
     tokens, draw = F.size("__words").cast("long"), F.pmod(F.xxhash64("__id", "__text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     if not domains:
         return base.select(F.col("__id").alias(id_col), *names, tokens.alias("tokens"), F.create_map().cast("map<string,double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
-    rated = base.select("__id", *[f"__carry{i}" for i in range(len(carry))], tokens.alias("__tokens"), draw.alias("__draw"), _posteriors(_features(F.col("__words"), F.col("__shouted")), domains, rates, priors).alias("__p"))
+    rated = base.select("__id", *[f"__carry{i}" for i in range(len(carry))], tokens.alias("__tokens"), draw.alias("__draw"), _posteriors(_features(F.col("__words"), F.col("__shouted")), rates, priors).alias("__p"))
+    posterior = [F.col(f"__p{i}") for i in range(len(domains))]
+    floor = F.lit(0.0)
+    if keep in domains:
+        floor = F.when(F.get("__p", F.lit(domains.index(keep))) == F.array_max("__p"), F.lit(min(1.0, float(max_rate)))).otherwise(floor)
+    # Plain columns, so that a chain of steps stays a small expression.
+    rated = rated.select("*", *[F.get("__p", F.lit(i)).alias(f"__p{i}") for i in range(len(domains))], floor.alias("__floor")).drop("__p")
     rated = materialize(rated, "posteriors")
-    posterior = [F.get("__p", F.lit(i)) for i in range(len(domains))]
     shares = [targets.get(d, 0.0) for d in domains]
     shares = [s / sum(shares) for s in shares] if sum(shares) > 0 else [1 / len(shares)] * len(shares)
-    floor = F.lit(0.0)
-    if keep in domains:
-        floor = F.when(posterior[domains.index(keep)] == F.array_max("__p"), F.lit(min(1.0, float(max_rate)))).otherwise(F.lit(0.0))
-    rate, *_ = fit_rates(rated, posterior, shares, floor, max_rate, F.col("__tokens"), anchor=domains.index(anchor) if anchor in domains else None)
+    rate, *_ = fit_rates(rated, posterior, shares, F.col("__floor"), max_rate, F.col("__tokens"), anchor=domains.index(anchor) if anchor in domains else None)
     out = rated.withColumn("__rate", rate)
     copies = (F.floor("__rate") + F.when(F.col("__draw") < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("long")
-    mapped = F.map_from_arrays(F.array(*map(F.lit, domains)), F.col("__p"))
+    mapped = F.map_from_arrays(F.array(*map(F.lit, domains)), F.array(*posterior))
     return out.select(F.col("__id").alias(id_col), *names, F.col("__tokens").alias("tokens"), mapped.alias("posterior"), F.col("__rate").alias("rate"), copies.alias("copies"))
 
 
