@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.common import materialize
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -165,7 +167,7 @@ def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY_S
     """word -> rank, of the `size` most frequent words of three to fifteen letters, after the common passwords."""
     found = F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(r"(?<!\p{L})\p{L}{3,15}(?!\p{L})"), F.lit(0))
     counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()  # bounded by size
+    top = materialize(counts.orderBy(F.desc("n"), "word").limit(size), "dictionary").orderBy(F.desc("n"), "word").collect()  # bounded by size
     ranks = {w: i + 1 for i, w in enumerate(COMMON)}
     for r in top:
         ranks.setdefault(r["word"], len(ranks) + 1)
