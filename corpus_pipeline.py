@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import langid, line_dedup, mixing, neardup
-from tessella.llm.common import materialize
+from tessella.llm.common import broadcast_if, materialize
 from tessella.llm.sentencepiece_codec import Vocabulary, encode
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,8 +35,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id."""
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    copies = materialize(neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "copies")
+    return docs.join(broadcast_if(copies, copies.count(), neardup.BROADCAST_IDS), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ WINDOW = 64
 BLOCK = 256
 #: Neighbours that a node confirms in the first pass; candidates confirmed first for each pair of components.
 FIRST, BEST = 3, 4
-BROADCAST_KEYS = 50_000
+BROADCAST_KEYS, BROADCAST_IDS = 50_000, 500_000
 
 _random = np.random.default_rng(20260101)
 MULTIPLIERS = _random.integers(0, 2**63, COLUMNS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -263,12 +263,15 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), values], names=["id", "s"])
 
-    return materialize(docs.join(ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>"), "sets")
+    ids = materialize(ids.distinct(), "ids")
+    # While few documents need their sets, texts stay where they are.
+    wanted = docs.join(broadcast_if(ids, ids.count(), BROADCAST_IDS), "id", "left_semi")
+    return materialize(wanted.mapInArrow(run, "id long, s array<long>"), "sets")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), width)
     one, two = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     both = pairs.select("a", "b").join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
