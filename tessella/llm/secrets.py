@@ -14,9 +14,12 @@ words, counted over all documents with map-side combine, next to a short
 list of common passwords.  It is broadcast, its size is bounded by that
 parameter.
 
-Edge cases: null text is empty; a value longer than LONGEST code points
-is cut there for the cost, which only makes it cheaper; a method span
-that overlaps a base span is left out; null and repeated ids keep their
+The cost covers the whole value.  The number of segments enters by its
+factorial, so a best segmentation for each number would be needed; a
+price for each segment in its place gives bounds (Lagrangian), which leave
+few numbers to follow.  Brute-force spans take a running minimum.
+
+Edge cases: null text is empty; a method span that overlaps a base span is left out; null and repeated ids keep their
 rows; an empty table gives an empty result; other columns are ignored
 except `carry`.
 """
@@ -24,7 +27,7 @@ except `carry`.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from math import lgamma, log, log10
 
 import pyarrow as pa
@@ -48,7 +51,9 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "api", "key", "credential", "bearer", "://")
 
 MIN_LOG10 = 8.0
-LONGEST = 128
+#: A periodic run of 8 * 8 * (longest word + 8) characters is cut only near its ends: one repeat is the cheapest inside, as what
+#: stands beside it there costs more than a longer repeat, but for fewer words than the period has characters.
+WORD = 24
 DICTIONARY_SIZE = 20_000
 #: Common passwords, most frequent first.
 COMMON = "password 123456 123456789 12345678 12345 qwerty abc123 111111 letmein welcome monkey dragon iloveyou admin login princess sunshine master shadow football baseball trustno1 superman michael starwars passw0rd secret changeme default guest root test".split()
@@ -77,7 +82,19 @@ def segments(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, str,
     low = value.lower()
     plain = low.translate(LEET)
     n = len(value)
+    edge, deep = 8 * (max(WORD, max(map(len, ranks), default=0)) + 8), set()
+    for width in range(1, 9) if n > 8 * edge else ():
+        for m in re.finditer(rf"(.{{{width}}})\1{{{8 * edge // width},}}", value, re.DOTALL):
+            deep.update(range(m.start() + edge, m.end() - edge + 1))
+    for found in _segments(value, low, plain, n, ranks, deep):
+        if found[1] not in deep:
+            yield found
+
+
+def _segments(value: str, low: str, plain: str, n: int, ranks: dict[str, int], deep: Collection[int]) -> Iterator[tuple[int, int, str, float]]:
     for start in range(n):
+        if start in deep:
+            continue
         for end in range(start + 3, min(n, start + 24) + 1):
             for form, leet in ((low, 1.0), (plain, 2.0)):
                 rank = ranks.get(form[start:end])
@@ -87,11 +104,11 @@ def segments(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, str,
         for end in range(start + 4, min(n, start + 10) + 1):
             if _DATE.fullmatch(value, start, end):
                 yield start, end, "date", log10(120) if end - start == 4 else log10(365 * 120 * 4)
-        end = start + 1
+        end, turns = start + 1, 0
         while end < n and _adjacent(low[end - 1], low[end]):
             end += 1
             if end - start >= 3:
-                turns = sum(ord(low[i + 2]) - ord(low[i + 1]) != ord(low[i + 1]) - ord(low[i]) for i in range(start, end - 2))
+                turns += ord(low[end - 1]) - ord(low[end - 2]) != ord(low[end - 2]) - ord(low[end - 3])
                 yield start, end, "keyboard", log10(len(_PLACE) * (end - start)) + min(turns, end - start) * log10(4)
         end = start + 1
         while end < n and 0 < abs(step := ord(low[end]) - ord(low[end - 1])) <= 1 and (end - start < 2 or step == ord(low[end - 1]) - ord(low[end - 2])):
@@ -100,6 +117,9 @@ def segments(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, str,
                 yield start, end, "sequence", log10(20 * (end - start))
         for width in range(1, min(9, (n - start) // 2 + 1)):
             end = start + width
+            block = value[start:end]
+            if (block + block).find(block, 1) < width:
+                continue  # a repeat of a shorter width, which is cheaper
             while value[end : end + width] == value[start : start + width] and end + width <= n:
                 end += width
                 if end - start >= 3:
@@ -109,34 +129,73 @@ def segments(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, str,
 
 def guess_cost(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[str, str]]]:
     """log10 of the guesses for a value, and its cheapest segmentation as (kind, text)."""
-    value = value[:LONGEST]
     n = len(value)
-    ends: dict[int, list[tuple[int, str, float]]] = {}
+    if not n:
+        return 0.0, []
+    cheapest: dict[tuple[int, int], tuple[float, str]] = {}
     for start, end, kind, cost in segments(value, ranks):
-        ends.setdefault(end, []).append((start, kind, cost))
-    brute = [0.0]
+        if cost < cheapest.get((start, end), (float("inf"),))[0]:
+            cheapest[start, end] = cost, kind
+    starts: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    ends: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
+    for (start, end), (cost, kind) in cheapest.items():
+        starts[start].append((end, cost))
+        ends[end].append((start, cost, kind))
+    brute, two = [0.0], log10(2)
     for c in value:
         brute.append(brute[-1] + log10(_alphabet(c)))
-    # best[end][count]: the least cost of value[:end] in `count` segments, and the last one.
+
+    def order(count: int) -> float:
+        return lgamma(count + 1) / log(10)
+
+    def priced(price: float) -> tuple[list[float], int, float]:
+        """Least cost from every place to the end at a price for each segment; segments and cost of the whole."""
+        rest, counts, low, at = [0.0] * (n + 1), [0] * (n + 1), brute[n], n
+        for start in range(n - 1, -1, -1):
+            best, to = low - brute[start] + two, at
+            for end, cost in starts[start]:
+                if rest[end] + cost < best:
+                    best, to = rest[end] + cost, end
+            rest[start], counts[start] = best + price, counts[to] + 1
+            if brute[start] + rest[start] < low:
+                low, at = brute[start] + rest[start], start
+        return rest, counts[0], rest[0] - price * counts[0]
+
+    # Prices at which the bound meets a segmentation; the order factor is at least its tangent of this slope.
+    below, above, most, bound = 0.0, log10(n + 1), float("inf"), -float("inf")
+    for _ in range(16):
+        slope = (below + above) / 2
+        left, count, cost = priced(slope)
+        tangent = order(max(1, int(10**slope))) - slope * max(1, int(10**slope))
+        most = min(most, cost + order(count))
+        if left[0] + tangent > bound:
+            bound, rest, price, least = left[0] + tangent, left, slope, tangent
+        if most - bound < 1e-9:
+            break
+        below, above = (slope, above) if count > 10**slope else (below, slope)
+    limit = most - least + 1e-9
+    nearest = [0.0] * n + [brute[n]]  # the least brute force and rest from here on
+    for i in range(n - 1, -1, -1):
+        nearest[i] = min(nearest[i + 1], brute[i] + rest[i])
+    # best[end][count]: the least cost of value[:end] in `count` segments, and the last one; only what can lead to `most` or less.
     best: list[dict[int, tuple[float, int, str]]] = [{0: (0.0, 0, "")}]
+    running = {0: (0.0, 0)}
     for end in range(1, n + 1):
         row: dict[int, tuple[float, int, str]] = {}
-        options = ends.get(end, []) + [(start, "brute", brute[end] - brute[start] + log10(2)) for start in range(end)]
-        for start, kind, cost in options:
-            for count, (before, _, last) in best[start].items():
-                if kind == last == "brute":
-                    continue
+        for count, (before, start) in running.items():
+            row[count + 1] = before + brute[end] + two, start, "brute"
+        for start, cost, kind in ends[end]:
+            for count, (before, _, _) in best[start].items():
                 if before + cost < row.get(count + 1, (float("inf"),))[0]:
                     row[count + 1] = before + cost, start, kind
-        # More segments never pay unless they are cheaper even before the order factor.
-        least, kept = float("inf"), {}
-        for count in sorted(row):
-            if row[count][0] < least:
-                kept[count], least = row[count], row[count][0]
-        best.append(kept)
-    total = {count: found[0] + lgamma(count + 1) / log(10) for count, found in best[n].items()}
-    count = min(total, key=total.get) if total else 0
-    cost, parts, end = total.get(count, 0.0), [], n
+        best.append({count: x for count, x in row.items() if x[0] + price * count + rest[end] <= limit})
+        if end < n:
+            for count, x in best[end].items():
+                if x[0] - brute[end] < running.get(count, (float("inf"),))[0]:
+                    running[count] = x[0] - brute[end], end
+            running = {count: x for count, x in running.items() if x[0] + two + price * (count + 1) + nearest[end + 1] <= limit}
+    count = min(best[n], key=lambda c: best[n][c][0] + order(c))
+    cost, parts, end = best[n][count][0] + order(count), [], n
     while end > 0:
         _, start, kind = best[end][count]
         parts.append((kind, value[start:end]))

@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import random
 import re
+import time
 from math import factorial, log10
 
 from tessella.llm.secrets import base_spans, dictionary, find_secrets, guess_cost, op5_secrets, segments, _alphabet
@@ -61,6 +63,39 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert guess_cost("", ranks) == (0.0, [])
 
 
+def exact_cost(value, ranks):
+    """The best segmentation for every number of segments, without bounds."""
+    n, ends = len(value), {}
+    for s, e, _, c in segments(value, ranks):
+        ends.setdefault(e, []).append((s, c))
+    best = [{0: 0.0}]
+    for e in range(1, n + 1):
+        row = {}
+        for s, c in ends.get(e, []) + [(s, sum(log10(_alphabet(x)) for x in value[s:e]) + log10(2)) for s in range(e)]:
+            for k, before in best[s].items():
+                row[k + 1] = min(row.get(k + 1, 1e9), before + c)
+        best.append(row)
+    return min(c + log10(factorial(k)) for k, c in best[n].items())
+
+
+def test_guess_cost_covers_whole_values():
+    ranks = {"password": 1, "horse": 50, "the": 3, "and": 9, "aaa": 2}
+    key = "b7Kq9!xV2mQz#4Lw"
+    for head in ("A" * 130, "ab" * 70, "thehorseand" * 12):
+        assert guess_cost(head + key, ranks)[0] > guess_cost(head, ranks)[0] + 8
+    rng = random.Random(1)
+    for _ in range(30):
+        v = "".join(rng.choice(("horse", "the", "and", "1990", "qwer", "aaaa", "x", "K", "7", "?", "abcd", "zzzz")) for _ in range(rng.randint(1, 18)))
+        assert abs(guess_cost(v, ranks)[0] - exact_cost(v, ranks)) < 1e-9, v
+    v = "thehorse" + "a" * 300 + "K7x"
+    parts = guess_cost(v, ranks)[1]
+    assert ("repeat", "a" * 300) in parts and "".join(p for _, p in parts) == v
+    long = "".join(rng.choice("abcdefgh0123456789+/XYZ") for _ in range(20_000))
+    started = time.monotonic()
+    assert guess_cost(long, ranks)[0] > 10_000 and guess_cost("A" * 20_000 + key, ranks)[0] > 16
+    assert time.monotonic() - started < 60
+
+
 def test_query_and_method_spans(spark):
     rows = [(i, t, "c") for i, t in enumerate(TEXTS)] + [(50, None, "c"), (None, "the pwd: x7!kQz#9Lm2p end", "c"), (60, "the password is horse", "c"), (61, "ftp://me:Zq8%xx91-Kd@host/ a", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
