@@ -9,10 +9,11 @@ keyboard walks and brute-force spans; the cost of k segments is the
 product of theirs times k!.  Values at or over `min_log10` guesses are
 added as spans of kind `guess`; cheap ones are ordinary words.
 
-The dictionary is the corpus's own: the `dictionary_size` most frequent
-words, counted over all documents with map-side combine, next to a short
-list of common passwords.  It is broadcast, its size is bounded by that
-parameter.
+The dictionary is the corpus's own: every word of three letters or more,
+ranked by its count over all documents (with map-side combine), after a
+short list of common passwords.  Words and ranks stay distributed; only
+the words that occur inside some document's values are gathered, by a join
+of the values' letter runs with the ranked table.
 
 The cost covers the whole value.  The number of segments enters by its
 factorial, so a best segmentation for each number would be needed; a
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import materialize
+from tessella.llm.common import broadcast_if, materialize
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -51,10 +52,13 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "api", "key", "credential", "bearer", "://")
 
 MIN_LOG10 = 8.0
-#: A periodic run of 8 * 8 * (longest word + 8) characters is cut only near its ends: one repeat is the cheapest inside, as what
-#: stands beside it there costs more than a longer repeat, but for fewer words than the period has characters.
+#: Longer words are looked up by their first WORD letters.
 WORD = 24
-DICTIONARY_SIZE = 20_000
+#: A periodic run of 8 * RUN_WORDS * (longest word + 8) characters is cut only near its ends: one repeat is the cheapest inside, as what
+#: stands beside it there costs more than a longer repeat, but for fewer words than the period has characters.
+RUN_WORDS = 8
+#: A broadcast table of at most this many pieces of values.
+BROADCAST_PIECES = 200_000
 #: Common passwords, most frequent first.
 COMMON = "password 123456 123456789 12345678 12345 qwerty abc123 111111 letmein welcome monkey dragon iloveyou admin login princess sunshine master shadow football baseball trustno1 superman michael starwars passw0rd secret changeme default guest root test".split()
 #: Rows of a keyboard.
@@ -63,6 +67,7 @@ KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4@301$57!", "aaeoisstl")
 
 _PLACE = {c: (x + y / 2, y) for y, row in enumerate(KEYBOARD) for x, c in enumerate(row)}
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
 _DATE = re.compile(r"(?:(?:19|20)\d\d|\d{1,2}([-/._]?)\d{1,2}\1(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d([-/._]?)\d{1,2}\2\d{1,2})", re.ASCII)
 
 
@@ -77,25 +82,34 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
 
 
+class Ranks(dict):
+    """word -> rank, with the length of the longest word."""
+
+    def __init__(self, ranks: dict[str, int]):
+        super().__init__(ranks)
+        self.longest = max(map(len, ranks), default=0)
+
+
 def segments(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, str, float]]:
     """Segments (start, end, kind, log10 guesses) that are cheaper than brute force."""
     low = value.lower()
     plain = low.translate(LEET)
     n = len(value)
-    edge, deep = 8 * (max(WORD, max(map(len, ranks), default=0)) + 8), set()
+    longest = ranks.longest if isinstance(ranks, Ranks) else max(map(len, ranks), default=0)
+    edge, deep = RUN_WORDS * (max(WORD, longest) + 8), set()
     for width in range(1, 9) if n > 8 * edge else ():
         for m in re.finditer(rf"(.{{{width}}})\1{{{8 * edge // width},}}", value, re.DOTALL):
             deep.update(range(m.start() + edge, m.end() - edge + 1))
-    for found in _segments(value, low, plain, n, ranks, deep):
+    for found in _segments(value, low, plain, n, ranks, longest, deep):
         if found[1] not in deep:
             yield found
 
 
-def _segments(value: str, low: str, plain: str, n: int, ranks: dict[str, int], deep: Collection[int]) -> Iterator[tuple[int, int, str, float]]:
+def _segments(value: str, low: str, plain: str, n: int, ranks: dict[str, int], longest: int, deep: Collection[int]) -> Iterator[tuple[int, int, str, float]]:
     for start in range(n):
         if start in deep:
             continue
-        for end in range(start + 3, min(n, start + 24) + 1):
+        for end in range(start + 3, min(n, start + longest) + 1):
             for form, leet in ((low, 1.0), (plain, 2.0)):
                 rank = ranks.get(form[start:end])
                 if rank is not None:
@@ -222,20 +236,59 @@ def context_values(text: str) -> list[tuple[int, int]]:
     return [m.span("value" if m["value"] is not None else "url") for m in CONTEXT.finditer(text)]
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY_SIZE) -> dict[str, int]:
-    """word -> rank, of the `size` most frequent words of three to fifteen letters, after the common passwords."""
-    found = F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(r"(?<!\p{L})\p{L}{3,15}(?!\p{L})"), F.lit(0))
+def letter_runs(text: str) -> set[str]:
+    """Runs of letters, plain and with letters for look-alikes, of the values in a credential context."""
+    found = [ASSIGN.match(text, s)[2] for s, k, _ in base_spans(text) if k == 0] + [text[s:e] for s, e in context_values(text)]
+    return {run for v in found for form in (v.lower(), v.lower().translate(LEET)) for run in _LETTERS.findall(form)}
+
+
+def ranked_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, rank) of every word of three letters or more: by falling count, then word, after the common passwords."""
+    found = F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(r"\p{L}{3,}+"), F.lit(0))
     counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = materialize(counts.orderBy(F.desc("n"), "word").limit(size), "dictionary").orderBy(F.desc("n"), "word").collect()  # bounded by size
+    counts = materialize(counts.filter(~F.col("word").isin(COMMON)), "words")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = materialize(counts.orderBy(F.desc("n"), "word").select("word", F.spark_partition_id().alias("part"), place.alias("place")), "ranks")
+    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    first, offsets = len(COMMON) + 1, []
+    for part in range(max(sizes, default=-1) + 1):
+        offsets.append(first)
+        first += sizes.get(part, 0)
+    offset = F.get(F.array(*map(F.lit, offsets or [first])).cast("array<long>"), F.col("part"))
+    return placed.select("word", (F.col("place") + offset).alias("rank"))
+
+
+def dictionary(docs: DataFrame, text_col: str = "text", size: int | None = None) -> Ranks:
+    """word -> rank of the words that occur in values of docs (the `size` most frequent of all words only, if given), and of the common passwords."""
+    text = docs.select(F.col(f"`{text_col}`").alias("__text")).filter(F.col("__text").isNotNull())
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                runs = {run for t in batch.column(0).slice(at, 1000).to_pylist() for run in letter_runs(t)}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(runs), pa.string())], names=["run"])
+
+    runs = materialize(text.mapInArrow(extract, "run string").distinct(), "letter-runs")
+    words = ranked_words(docs, text_col)
+    if size is not None:
+        words = words.filter(F.col("rank") <= len(COMMON) + size)
+    starts = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run") - 2)).alias("at"))
+    lengths = F.sequence(F.lit(3), F.least(F.lit(WORD), F.length("run") - F.col("at") + 1))
+    pieces = materialize(starts.select(F.explode(F.transform(lengths, lambda n: F.substr("run", "at", n))).alias("word")).distinct(), "pieces")
+    short = words.join(broadcast_if(pieces, pieces.count(), BROADCAST_PIECES), "word", "left_semi")
+    # Longer words: a run that has the first letters at a place has the word there.
+    heads = starts.filter(F.length("run") - F.col("at") >= WORD).withColumn("head", F.substr("run", "at", F.lit(WORD)))
+    more = words.filter(F.length("word") > WORD).withColumn("head", F.left("word", F.lit(WORD)))
+    more = more.join(heads, "head").filter(F.substr("run", "at", F.length("word")) == F.col("word")).select("word", "rank").distinct()
+    found = short.unionByName(more).toArrow()  # words inside values only
     ranks = {w: i + 1 for i, w in enumerate(COMMON)}
-    for r in top:
-        ranks.setdefault(r["word"], len(ranks) + 1)
-    return ranks
+    ranks.update(zip(found.column("word").to_pylist(), found.column("rank").to_pylist(), strict=True))
+    return Ranks(ranks)
 
 
 def find_secrets(docs: DataFrame, ranks: dict[str, int], min_log10: float = MIN_LOG10, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Returns the `carry` columns, spans array<struct<start, kind, end, log10_guesses>> (base and guess) and text with the spans redacted."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast(Ranks(ranks))
     kept = [f"__carry{i}" for i in range(len(carry))]
     rows = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`").alias(k) for c, k in zip(carry, kept, strict=True)])
     span = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("log10_guesses", pa.float64())])

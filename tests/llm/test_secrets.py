@@ -5,9 +5,10 @@ import itertools
 import random
 import re
 import time
+from collections import Counter
 from math import factorial, log10
 
-from tessella.llm.secrets import base_spans, dictionary, find_secrets, guess_cost, op5_secrets, segments, _alphabet
+from tessella.llm.secrets import COMMON, base_spans, dictionary, find_secrets, guess_cost, op5_secrets, segments, _alphabet
 
 SF = "/root/testdata/sf0.001"
 
@@ -110,3 +111,21 @@ def test_query_and_method_spans(spark):
         base = brute_base(texts[r.doc_id])
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(b[1] == k for b in base) for k in range(3)]
         assert r.base_sha256 == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
+
+
+def test_every_word_has_its_rank(spark):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05}")
+    rare, longest = "zyxwvutsrqponm", "l" + "ongword" * 6
+    rows = [(i, " ".join([word(i * 50 + j) for j in range(50)] * 2)) for i in range(500)]
+    rows += [(900, f"the password is {rare}"), (901, f"pwd: {longest}x1"), (902, f"once {longest}"), (903, "token: zyxwv7!Kq#Pz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = dictionary(docs)
+    texts = " ".join(t for _, t in rows).lower()
+    counts = Counter(w for w in re.findall(r"[^\W\d_]{3,}", texts) if w not in COMMON)
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    for w in (rare, longest):
+        assert ranks[w] == len(COMMON) + 1 + order.index(w) and ranks[w] > 20_000
+    assert len(ranks) < 100  # words outside values are not gathered
+    out = {r.doc_id: r for r in find_secrets(docs, ranks).collect()}
+    assert not out[900].spans and out[900].text == rows[500][1] and not out[901].spans
+    assert [s.kind for s in out[903].spans] == ["guess"]
