@@ -118,6 +118,16 @@ def test_pii_terms_that_reveal_an_entity_are_marked(spark):
     assert out[200].text == rows[-4][1] and not out[200].spans
 
 
+def test_pii_terms_of_one_value_are_marked_and_copies_are_no_evidence(spark):
+    rows = [(i, f"note {i} to me@example.org for Quirrel") for i in range(50)] + [(100 + i, "copy of Sprout at you@example.org") for i in range(50)]
+    rows += [(200 + i, f"plain words {i} without any of them") for i in range(400)]
+    # Flitwick: rarely beside an e-mail, but then always beside one rare value.
+    rows += [(700 + i, f"memo {i} rare@example.org Flitwick") for i in range(6)] + [(800 + i, f"memo {i} Flitwick") for i in range(8)]
+    out = {r.doc_id: r for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    term = lambda i: [s.v for s in out[i].spans if s.k == 4]
+    assert "Quirrel" in term(0) and "Sprout" not in term(100) and "Flitwick" in term(700)
+
+
 def brute_fingerprint_sets(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
