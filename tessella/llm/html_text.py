@@ -50,7 +50,7 @@ SMOOTHING = 0.5
 NODES_AT_ONCE = 40_000
 
 #: Elements whose inside is never text, elements without an end, and elements that end a block.
-RAW = "script style noscript template svg math iframe object canvas textarea select title".split()
+RAW = "script style template textarea title".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html body head address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()

@@ -65,3 +65,14 @@ def test_a_full_page_and_edge_cases(spark):
     ]
     assert [r.text for r in out[2:4]] == ["", ""] and out[5].text == "" and out[7].text == "" and len(out) == len(rows)
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_graphics_and_controls_do_not_swallow_text():
+    para = "<p>A paragraph of the article, with several words. It goes on, and it ends here.</p>"
+    page = lambda x: f"<html><body><main><article>{para}{x}{para.replace('A para', 'B para')}</article></main></body></html>"
+    odd = ["<svg width=1 height='2'/>", "<math/>", "<p>Text <select><option>x</p>", "<object data=x>", "<canvas id=c>"]
+    for x, text in zip(odd, default_model().extract([page(x) for x in odd]), strict=True):
+        assert "A paragraph" in text and "B paragraph" in text, x
+    forest = Forest()
+    forest.parse(0, page("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, it is said.<noscript>fallback</noscript></p>"))
+    assert {"x", "=", "1", "fallback"} <= set(forest.text)
