@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +19,23 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine (local mode, as in tests)
+    gets a folder of its own; a cluster has none that could be guessed, so
+    there it is an error.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="tessella-")
+        sc.setCheckpointDir(folder)
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
 
@@ -40,6 +56,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def release() -> None:
+    """Gives the memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, in a worker that is trimmed before its first batch and after its last."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

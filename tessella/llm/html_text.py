@@ -43,6 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.common import tidy
+
 FURNITURE, CONTENT, CONTAINER = range(3)
 STATES = 3
 SMOOTHING = 0.5
@@ -398,7 +400,7 @@ def extract_text(pages: DataFrame, model: TreeModel | None = None, html_col: str
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
 
     schema = T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in kept), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(k).alias(c) for c, k in zip(carry, kept, strict=True)], "text", "n_chars")
 
 

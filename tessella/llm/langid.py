@@ -39,11 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.common import tidy
+
 ORDER = 5
 DOCS_PER_LANGUAGE = 400
 REJECT_Z = 8.0
 #: Characters scored at once in a worker.
-SLICE = 500_000
+SLICE = 200_000
 UND = "und"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,16 +67,21 @@ def normalise(text: str) -> np.ndarray:
     return np.concatenate([[32], body, [] if body[-1] == 32 else [32]]).astype(np.uint32)
 
 
-def chains(points: np.ndarray) -> list[np.ndarray]:
-    """chains[o - 1][i]: hash of the o-gram that ends at position i (of what there is, at the start)."""
+def iterate_chains(points: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order o: hashes of the o-grams that end at every position (of what there is, at the start)."""
     mixed = (points.astype(np.uint64) + np.uint64(1)) * MULTIPLIER
     mixed ^= mixed >> np.uint64(29)
-    out = [mixed]
+    last = mixed
+    yield last
     for _ in range(ORDER - 1):
         g = mixed.copy()
-        g[1:] += out[-1][:-1] * np.uint64(0xD1342543DE82EF95)
-        out.append(g)
-    return out
+        g[1:] += last[:-1] * np.uint64(0xD1342543DE82EF95)
+        last = g
+        yield last
+
+
+def chains(points: np.ndarray) -> list[np.ndarray]:
+    return list(iterate_chains(points))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,23 +99,28 @@ class KneserNey:
 
     @staticmethod
     def fit(points: np.ndarray) -> KneserNey:
-        g = chains(points)
         start = ORDER - 1
-        # Unique grams of every order, each with a position that shows it.
-        shown = [np.unique(x[start:], return_index=True, return_counts=True) for x in g]
+        # Unique grams of an order, each with a position that shows it.  Only three orders' chains are held at a time.
+        unique = lambda x: np.unique(x[start:], return_index=True, return_counts=True)
+        chain = iterate_chains(points)
+        shorter, g = None, next(chain)
+        shown = unique(g)
         grams, contexts = [], []
         for o in range(1, ORDER + 1):
-            keys, first, counts = shown[o - 1]
+            keys, first, counts = shown
             where = first + start
             if o < ORDER:  # continuation counts: distinct characters to the left
-                longer = shown[o][1] + start
-                k, n = np.unique(g[o - 1][longer], return_counts=True)
+                following = next(chain)
+                shown = unique(following)
+                k, n = np.unique(g[shown[1] + start], return_counts=True)
                 keep = np.isin(keys, k)
                 keys, where, counts = keys[keep], where[keep], n
             counts = counts.astype(float)
             once, twice = (counts == 1).sum(), (counts == 2).sum()
             discount = once / (once + 2 * twice) if once else 0.5
-            context = g[o - 2][where - 1] if o > 1 else np.zeros(len(keys), np.uint64)
+            context = shorter[where - 1] if o > 1 else np.zeros(len(keys), np.uint64)
+            if o < ORDER:
+                shorter, g = g, following
             ctx, back = np.unique(context, return_inverse=True)
             total, kinds = np.bincount(back, counts), np.bincount(back)
             grams.append((keys, np.maximum(counts - discount, 0) / total[back]))
@@ -129,9 +141,11 @@ class KneserNey:
 
 def _distinct_grams(points: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The chains of a text's distinct grams of full order, and those one position before."""
-    g = chains(points)
-    at = np.unique(g[-1][ORDER:], return_index=True)[1] + ORDER
-    return [x[at] for x in g], [x[at - 1] for x in g]
+    for last in iterate_chains(points):
+        pass
+    at = np.unique(last[ORDER:], return_index=True)[1] + ORDER
+    found = [(x[at], x[at - 1]) for x in iterate_chains(points)]
+    return [x for x, _ in found], [x for _, x in found]
 
 
 @dataclass
@@ -250,9 +264,10 @@ def fit(docs: DataFrame, usable: Column | None = None, docs_per_language: int =
         return LanguageModel.fit({}, {})
     span = 1 << 30
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(span, 2 * docs_per_language * span // n + 1))) for k, n in counts.items()])
-    sample = rows.filter(F.pmod("h", F.lit(span)) < limit).repartition(1)
+    # Repeated rows share a hash: one of them is enough, or they would all come.
+    sample = rows.filter(F.pmod("h", F.lit(span)) < limit).dropDuplicates(["lang", "h"]).repartition(1)
     # The sample is bounded; one task fits it, so that the driver holds no more than the model.
-    return pickle.loads(sample.mapInArrow(_fit_sample, "model binary").first()["model"])
+    return pickle.loads(sample.mapInArrow(tidy(_fit_sample), "model binary").first()["model"])
 
 
 def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,6 +276,7 @@ def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fitted, held = {}, {}
     for r in rows:
         (fitted if len(fitted.setdefault(r["lang"], [])) <= len(held.setdefault(r["lang"], [])) else held)[r["lang"]].append(r["text"])
+    del rows
     yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(LanguageModel.fit(fitted, held))]})
 
 
@@ -272,12 +288,14 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carr
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, score, entropy, rejected = shared.value.predict(batch.column("__text").to_pylist())
-            found = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + found, names=[*kept, "lang_pred", "score", "cross_entropy", "rejected"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                names, score, entropy, rejected = shared.value.predict(part.column("__text").to_pylist())
+                found = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + found, names=[*kept, "lang_pred", "score", "cross_entropy", "rejected"])
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    out = rows.mapInArrow(predict, T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in kept), *added]))
+    out = rows.mapInArrow(tidy(predict), T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in kept), *added]))
     return out.select(*[F.col(k).alias(c) for c, k in zip(carry, kept, strict=True)], "lang_pred", "score", "cross_entropy", "rejected")
 
 

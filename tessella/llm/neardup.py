@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import broadcast_if, materialize
+from tessella.llm.common import broadcast_if, materialize, tidy
 from tessella.llm.components import connected_components
 
 TREES, DEPTH = 32, 4
@@ -111,7 +111,7 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "n", "ka", "kb", "sig"])
 
-    return docs.mapInArrow(run, "id long, n long, ka long, kb long, sig binary")
+    return docs.mapInArrow(tidy(run), "id long, n long, ka long, kb long, sig binary")
 
 
 def _orders(nodes: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def _orders(nodes: DataFrame) -> DataFrame:
                 out |= {f"s{i}": np.tile(w, TREES) for i, w in enumerate(words)}
                 yield pa.RecordBatch.from_pydict(out)
 
-    return nodes.select("node", "n", "component", "sig").mapInArrow(run, "key long, p1 long, p2 long, node long, n long, component long, s0 long, s1 long, s2 long, s3 long")
+    return nodes.select("node", "n", "component", "sig").mapInArrow(tidy(run), "key long, p1 long, p2 long, node long, n long, component long, s0 long, s1 long, s2 long, s3 long")
 
 
 def _forest(nodes: DataFrame, large: DataFrame, n_large: int, partitions: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _scan(forest: DataFrame, reach: int, across: bool, percent: int) -> DataFram
         columns = {c: rows[c] for c in FOREST if c != "node"} | {"a": rows["node"], "at": np.full(m, at), "side": np.full(m, side), "place": np.arange(place, place + m)}
         return _batch(HALO, columns, m)
 
-    found = materialize(forest.select(*FOREST).mapInArrow(run, OUT), "candidates")
+    found = materialize(forest.select(*FOREST).mapInArrow(tidy(run), OUT), "candidates")
 
     def across_seam(table: pa.Table) -> pa.Table:
         """Pairs of a partition's last rows with the next one's first rows (and again those among the latter)."""
@@ -266,7 +266,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     ids = materialize(ids.distinct(), "ids")
     # While few documents need their sets, texts stay where they are.
     wanted = docs.join(broadcast_if(ids, ids.count(), BROADCAST_IDS), "id", "left_semi")
-    return materialize(wanted.mapInArrow(run, "id long, s array<long>"), "sets")
+    return materialize(wanted.mapInArrow(tidy(run), "id long, s array<long>"), "sets")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import broadcast_if, materialize
+from tessella.llm.common import broadcast_if, materialize, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -268,7 +268,7 @@ def dictionary(docs: DataFrame, text_col: str = "text", size: int | None = None)
                 runs = {run for t in batch.column(0).slice(at, 1000).to_pylist() for run in letter_runs(t)}
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(runs), pa.string())], names=["run"])
 
-    runs = materialize(text.mapInArrow(extract, "run string").distinct(), "letter-runs")
+    runs = materialize(text.mapInArrow(tidy(extract), "run string").distinct(), "letter-runs")
     words = ranked_words(docs, text_col)
     if size is not None:
         words = words.filter(F.col("rank") <= len(COMMON) + size)
@@ -320,7 +320,7 @@ def find_secrets(docs: DataFrame, ranks: dict[str, int], min_log10: float = MIN_
 
     spark_span = "array<struct<start:int,kind:string,end:int,log10_guesses:double>>"
     schema = T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in kept), T.StructField("spans", T._parse_datatype_string(spark_span)), T.StructField("text", T.StringType())])
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(k).alias(c) for c, k in zip(carry, kept, strict=True)], "spans", "text")
 
 

@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.common import tidy
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Scores this much below the worst piece's make byte pieces the last resort.
 BYTE_PENALTY = 10.0
 #: Remembered cuts in a worker, in two generations of this size, and the longest one that is remembered.
-CACHE_CUTS, CACHE_CHARS = 200_000, 40
+CACHE_CUTS, CACHE_CHARS = 40_000, 40
 WORST = -1e300
 
 
@@ -117,6 +119,10 @@ class Vocabulary:
             ids.extend(known)
         return ids
 
+    def forget(self) -> None:
+        """Drops the remembered cuts."""
+        self.cache, self.older = {}, {}
+
     def _short(self, text: str) -> tuple[int, ...]:
         """Ids of a text that fits into one window."""
         n = len(text)
@@ -213,17 +219,20 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", carr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = part.column("__text").to_pylist()
-                ids = [v.encode(t) for t in texts]
-                exact = [v.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
-                columns = [part.column(k) for k in kept] + [pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(exact, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", "n_tokens", "exact"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 100):
+                    part = batch.slice(at, 100)
+                    texts = part.column("__text").to_pylist()
+                    ids = [v.encode(t) for t in texts]
+                    exact = [v.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
+                    columns = [part.column(k) for k in kept] + [pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(exact, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", "n_tokens", "exact"])
+        finally:
+            v.forget()  # the worker lives on
 
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("exact", T.BooleanType())]
-    out = rows.mapInArrow(run, T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in kept), *added]))
+    out = rows.mapInArrow(tidy(run), T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in kept), *added]))
     return out.select(*[F.col(k).alias(c) for c, k in zip(carry, kept, strict=True)], "ids", "n_tokens", "exact")
 
 
@@ -238,7 +247,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", car
             texts = [shared.value.decode(i or ()) for i in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [pa.array(texts, pa.string())], names=[*kept, "text"])
 
-    out = rows.mapInArrow(run, T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in kept), T.StructField("text", T.StringType())]))
+    out = rows.mapInArrow(tidy(run), T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in kept), T.StructField("text", T.StringType())]))
     return out.select(*[F.col(k).alias(c) for c, k in zip(carry, kept, strict=True)], "text")
 
 
