@@ -11,19 +11,22 @@ connected components.
    the first DEPTH columns of its order; inside it nodes are sorted by
    the following columns, so that the nearest rows are those with the
    longest common prefix.
-3. Depth adapts to density.  Regions of at most WINDOW nodes are searched
-   as they are: all orders are sorted together, by range, and rows of one
-   region are candidates of each other, if they agree in size and in a
-   64-column sketch, within six standard deviations of the threshold.
-   First every node confirms its few nearest neighbours by longest common
-   prefix, and components follow; then candidates between different
-   components are confirmed, a few best for each pair of components, then
-   all that still join two components.
-4. Larger regions are taken out of the orders.  Nodes that share one are
-   gathered into clusters; a cluster is cut by set size and hash into
-   blocks of about BLOCK nodes, and pairs of blocks that can hold links
-   compare their full sets in one task each.  A task returns a spanning
-   forest of its links, never all pairs.
+3. Depth adapts to density.  A row's candidates are the WINDOW rows that
+   follow it in its region, and so those with the longest common
+   prefixes: in a region of at most WINDOW nodes everyone meets, in a
+   denser one the nodes that share a prefix long enough to hold no more.
+   Candidates have to agree in size and in a 64-column sketch, within six
+   standard deviations of the threshold.  First every node confirms its
+   few nearest neighbours, and components follow; then candidates between
+   different components are confirmed, a few best for each pair of
+   components, then all that still join two components.
+4. The rest of the denser regions is settled exactly.  Regions whose nodes
+   all belong to one component are closed.  In an open one the nodes
+   outside its largest component (outsiders) meet the sketches of all
+   others, in tasks of at most about BLOCK nodes on each side; a few best
+   pairs of every two components are confirmed first, then what is left.
+   Only rows of 64 bytes are dealt to several tasks, and only those of
+   open regions.
 5. Links are always confirmed on full shingle sets, fetched only for the
    nodes that need them.
 
@@ -31,8 +34,9 @@ With TREES = 32 and DEPTH = 4 a pair at similarity 0.8 shares no region
 with probability (1 - 0.8**4)**32 = 5e-8.
 
 No stage gathers a group in one task: exact copies collapse by partial
-aggregation, region sizes are counted with map-side combine, regions
-searched whole have at most WINDOW nodes, and larger ones are blocked.
+aggregation, the orders are sorted by range, whatever a region's size
+(pairs across the ends of partitions are found from their edges), and
+open regions are dealt out in blocks.
 
 Edge cases: null, empty or blank texts have an empty set and no links;
 fewer words than a shingle make one shingle; rows that repeat an id are
@@ -50,6 +54,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import broadcast_if, materialize, tidy
 from tessella.llm.components import connected_components
@@ -60,8 +65,8 @@ COLUMNS = TREES * DEPTH
 DEEPER = 8
 SKETCH = 64
 WINDOW = 64
-#: Nodes of a block, and the ratio of neighbouring set-size bands.
-BLOCK = 256
+#: Nodes on each side of a task that settles a part of an open region, and those compared at once.
+BLOCK, SLICE = 4096, 256
 #: Neighbours that a node confirms in the first pass; candidates confirmed first for each pair of components.
 FIRST, BEST = 3, 4
 BROADCAST_KEYS, BROADCAST_IDS = 50_000, 500_000
@@ -146,11 +151,10 @@ def _orders(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "component", "sig").mapInArrow(tidy(run), "key long, p1 long, p2 long, node long, n long, component long, s0 long, s1 long, s2 long, s3 long")
 
 
-def _forest(nodes: DataFrame, large: DataFrame, n_large: int, partitions: int) -> DataFrame:
-    """The orders without their large regions, sorted by range."""
+def _forest(nodes: DataFrame, partitions: int) -> DataFrame:
+    """The orders, sorted by range."""
     order = ["key", "p1", "p2", "node"]
-    rows = _orders(nodes).join(broadcast_if(large, n_large, BROADCAST_KEYS), "key", "left_anti")
-    return rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    return _orders(nodes).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
 FOREST = ["key", "node", "n", "component", "s0", "s1", "s2", "s3"]
@@ -221,7 +225,7 @@ def _scan(forest: DataFrame, reach: int, across: bool, percent: int) -> DataFram
             new = {c: batch.column(c).to_numpy() for c in FOREST}
             if seen < reach:
                 head = {c: v[: reach - seen] for c, v in new.items()}
-                yield _halo(head, at - 1, 1, seen)
+                yield _halo(head, at, 1, seen)
             seen += batch.num_rows
             held = len(carry["key"])
             rows = {c: np.concatenate([carry[c], new[c]]) for c in FOREST}
@@ -238,16 +242,29 @@ def _scan(forest: DataFrame, reach: int, across: bool, percent: int) -> DataFram
         return _batch(HALO, columns, m)
 
     found = materialize(forest.select(*FOREST).mapInArrow(tidy(run), OUT), "candidates")
+    halos = found.filter(F.col("kind") == HALO)
 
     def across_seam(table: pa.Table) -> pa.Table:
-        """Pairs of a partition's last rows with the next one's first rows (and again those among the latter)."""
-        table = table.sort_by([("side", "ascending"), ("place", "ascending")])
+        """Pairs of a partition's last rows with the first rows of those that follow it (and again those among the latter)."""
+        table = table.sort_by([("at", "ascending"), ("side", "descending"), ("place", "ascending")])
         rows = {c: table.column("a" if c == "node" else c).to_numpy() for c in FOREST}
         fresh = int((table.column("side").to_numpy() == 0).sum())
         pairs = _pairs(rows, fresh, reach, across, percent)
         return pa.Table.from_batches([_batch(PAIR, pairs, len(pairs["a"]))])
 
-    seams = found.filter(F.col("kind") == HALO).groupBy("at").applyInArrow(across_seam, OUT)
+    # A seam reads on over short and empty partitions until it has `reach` rows.
+    heads = {r["at"]: r["n"] for r in halos.filter("side = 1").groupBy("at").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    order, met = sorted(heads), []
+    for i, at in enumerate(order):
+        rows = 0
+        for following in order[i + 1 :]:
+            if rows >= reach:
+                break
+            met.append((at, following, 1))
+            rows += heads[following]
+    met += [(at, at, 0) for at in order]
+    dealt = halos.join(F.broadcast(halos.sparkSession.createDataFrame(met, "seam int, at int, side int")), ["at", "side"])  # at most `reach` rows for each partition
+    seams = dealt.groupBy("seam").applyInArrow(across_seam, OUT)
     return found.filter(F.col("kind") != HALO).unionByName(seams)
 
 
@@ -278,64 +295,51 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def _block_links(table: pa.Table, percent: int) -> pa.Table:
-    """A spanning forest of the links between the sides of a pair of blocks, from full sets."""
-    ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-    sets = [np.asarray(v.values) for v in table.column("s")]
-    sizes = np.array([len(v) for v in sets])
-    values, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1
-    often = count[column] > 1
-    column, rows = number[column[often]], rows[often]
-    shared = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, rows = column[order], rows[order]
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-        low, high = np.searchsorted(column, (at, at + 2048))
-        held = np.zeros((len(sets), 2048), np.float32)
-        held[rows[low:high], column[low:high] - at] = 1
-        shared += held @ held.T
-    linked = (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) & ((side[:, None] != side[None, :]) | (side.max() == 0))
-    fresh, pairs = np.ones(len(sets), bool), []
-    for seed in range(len(sets)):
-        if not fresh[seed]:
-            continue
-        fresh[seed] = False
-        waiting = [seed]
-        while waiting:
-            at = waiting.pop()
-            for other in np.nonzero(linked[at] & fresh)[0]:
-                fresh[other] = False
-                waiting.append(other)
-                pairs.append((at, other))
-    one, two = (ids[[p[i] for p in pairs]] if pairs else ids[:0] for i in (0, 1))
-    return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
-
-
-def _large_region_links(nodes: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links among nodes that share a large region.  members: (key, node)."""
-    hubs = members.groupBy("key").agg(F.min("node").alias("a"))
-    clusters = connected_components(members.join(hubs, "key").select("a", F.col("node").alias("b")))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    placed = nodes.select("node", "n").join(clusters, "node").select("node", F.col("component").alias("cluster"), band.alias("band"))
-    placed = materialize(placed, "clusters")
-    units = placed.groupBy("cluster", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("units"))
-    units = materialize(units.select("*", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit")), "units")
-    mine = placed.join(units.select("cluster", "band", "units").distinct(), ["cluster", "band"])
-    mine = mine.select("node", "cluster", "band", F.pmod(F.xxhash64("node"), F.col("units")).cast("int").alias("unit"))
-    # Every unit meets the units of its own band and of the next one, each pair of units once.
-    left = units.select("cluster", "band", "unit")
-    right = units.select("cluster", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("band2"), F.col("unit").alias("unit2"))
-    meetings = left.join(right, ["cluster", "band"]).filter((F.col("band2") > F.col("band")) | (F.col("unit2") >= F.col("unit")))
-    meetings = materialize(meetings.withColumn("meeting", F.monotonically_increasing_id()), "meetings")
-    first = mine.join(meetings, ["cluster", "band", "unit"]).select("meeting", F.lit(0).alias("side"), F.col("node").alias("id"))
-    apart = meetings.filter((F.col("band") != F.col("band2")) | (F.col("unit") != F.col("unit2")))
-    apart = apart.select("meeting", "cluster", F.col("band2").alias("band"), F.col("unit2").alias("unit"))
-    second = mine.join(apart, ["cluster", "band", "unit"]).select("meeting", F.lit(1).alias("side"), F.col("node").alias("id"))
-    sets = _sets(docs, placed.select(F.col("node").alias("id")), width)
-    dealt = first.unionByName(second).join(sets, "id")
-    return dealt.groupBy("meeting").applyInArrow(lambda t: _block_links(t, percent), "a long, b long")
+def _cross_pairs(table: pa.Table, best: int | None, percent: int) -> pa.Table:
+    """Candidates between outsiders (side 1) and members (side 0) of different components; at most `best` for two components, if given."""
+    side = table.column("side").to_numpy()
+    rows = {c: table.column(c).to_numpy() for c in FOREST if c != "key"}
+    members, outsiders = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+    found = []
+    for at in range(0, len(outsiders), SLICE):
+        one = outsiders[at : at + SLICE]
+        n, m = rows["n"][one][:, None], rows["n"][members]
+        ok = (rows["component"][one][:, None] != rows["component"][members]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        i, j = (x[y] for x, y in zip((one, members), np.nonzero(ok), strict=True))
+        same = _agreement(rows, i, j)
+        ok = same >= least_agreement(percent)
+        found.append((i[ok], j[ok], same[ok]))
+    i, j, same = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    ci, cj = rows["component"][i], rows["component"][j]
+    low, high = np.minimum(ci, cj), np.maximum(ci, cj)
+    if best is not None and len(i):
+        order = np.lexsort((-same, high, low))
+        i, j, same, low, high = (x[order] for x in (i, j, same, low, high))
+        first = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        place = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
+        i, j, same = (x[place < best] for x in (i, j, same))
+    a, b = np.minimum(rows["node"][i], rows["node"][j]), np.maximum(rows["node"][i], rows["node"][j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "same": pa.array(same, pa.int32())})
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, best: int | None, percent: int) -> DataFrame | None:
+    """Candidates between components inside the large regions, whose rows are members (key, node, n, sketch); None if every region is closed."""
+    rows = materialize(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
+    counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    regions = counts.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("hub")).filter(F.col("size") > F.col("hub.n"))
+    units = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    regions = materialize(regions.select("key", F.col("hub.component").alias("hub"), units(F.col("size")).alias("blocks"), units(F.col("size") - F.col("hub.n")).alias("groups")), "open-regions")
+    n_open = regions.count()
+    if not n_open:
+        return None
+    rows = rows.join(broadcast_if(regions, n_open, BROADCAST_KEYS), "key")
+    deal = lambda count, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    sketch = ["key", "node", "n", "component", "s0", "s1", "s2", "s3"]
+    inside = rows.select(*sketch, F.lit(0).alias("side"), deal("blocks", 1).alias("block"), every("groups").alias("group"))
+    outside = rows.filter("component <> hub").select(*sketch, F.lit(1).alias("side"), every("blocks").alias("block"), deal("groups", 2).alias("group"))
+    met = inside.unionByName(outside).groupBy("key", "block", "group")
+    return met.applyInArrow(lambda t: _cross_pairs(t, best, percent), "a long, b long, same int")
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -348,40 +352,49 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id, n_shingles long, component_id long and kept boolean, for every row."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold integers: groups are named by their smallest id")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sigs = materialize(_signatures(rows, shingle), "signatures")
     linked = sigs.filter("n > 0 AND id IS NOT NULL")
     reps = materialize(linked.groupBy("ka", "kb").agg(F.min("id").alias("node")), "copies")
     nodes = materialize(linked.join(reps.withColumnRenamed("node", "id"), ["ka", "kb", "id"]).select(F.col("id").alias("node"), "n", "sig"), "nodes")
     texts = rows.filter("id IS NOT NULL AND text IS NOT NULL")
-    partitions = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * TREES // 4096))
+    n_rows, usual = nodes.count() * TREES, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(1, min(usual, n_rows // 4096), n_rows // 4_000_000)
 
     # A document that several rows give different texts joins its texts' groups.
     several = linked.join(reps, ["ka", "kb"]).groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("id")
     edges = linked.join(broadcast_if(several, several.count(), BROADCAST_KEYS), "id").join(reps, ["ka", "kb"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
 
-    # Large regions: counted, then compared in blocks.
-    orders = _orders(nodes.withColumn("component", F.col("node"))).select("key", "node")
+    # Large regions are known by their size; most are closed by the time they are looked at.
+    orders = _orders(nodes.withColumn("component", F.col("node"))).drop("p1", "p2", "component")
     large = materialize(orders.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > WINDOW).select("key"), "large-regions")
     n_large = large.count()
-    if n_large:
-        members = materialize(orders.join(broadcast_if(large, n_large, BROADCAST_KEYS), "key"), "members")
-        edges = edges.unionByName(_large_region_links(nodes, members, texts, shingle, percent))
 
     # First pass: nearest neighbours, a few best for each node.
-    near = _scan(_forest(nodes.withColumn("component", F.col("node")), large, n_large, partitions), 1, False, percent).filter(F.col("kind") == PAIR).select("a", "b", "same").distinct()
+    near = _scan(_forest(nodes.withColumn("component", F.col("node")), partitions), 1, False, percent).filter(F.col("kind") == PAIR).select("a", "b", "same").distinct()
     sides = near.select(F.explode(F.array(F.struct(F.col("a").alias("x")), F.struct(F.col("b").alias("x")))).alias("e"), "a", "b", "same").select("e.x", "a", "b", "same")
     rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("same"), F.xxhash64("a", "b")))
     first = materialize(sides.withColumn("r", rank).filter(F.col("r") <= FIRST).select("a", "b").distinct(), "first-pairs")
     edges = materialize(edges.unionByName(_confirm(first, texts, shingle, percent)), "links")
     labels = connected_components(edges)
 
-    # Second pass: everything in the regions that would join two components.
+    # Second pass: all neighbours in the window that would join two components.
     labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    found = _scan(_forest(labelled, large, n_large, partitions), WINDOW, True, percent)
+    found = _scan(_forest(labelled, partitions), WINDOW, True, percent)
     pairs = found.filter(F.col("kind") == PAIR).select("a", "b", "same").distinct().join(first, ["a", "b"], "left_anti")
     edges, labels = _join_components(materialize(pairs, "cross-pairs"), texts, edges, labels, shingle, percent)
 
+    # What the window leaves of large regions.
+    if n_large:
+        members = materialize(orders.join(broadcast_if(large, n_large, BROADCAST_KEYS), "key", "left_semi"), "large-members")
+        for best in (BEST, None):
+            rest = _open_pairs(members, labels, best, percent)
+            if rest is None:
+                break
+            edges, labels = _join_components(materialize(rest.distinct(), "open-region-pairs"), texts, edges, labels, shingle, percent)
+
     # Components by their smallest id, for every row.
     reps = materialize(reps.join(labels, "node", "left").select("ka", "kb", F.coalesce("component", "node").alias("component_id")), "groups")
     out = sigs.join(reps, ["ka", "kb"], "left")

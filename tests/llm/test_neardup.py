@@ -81,3 +81,39 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and {got[i] for i in (100, 150, 200)} == {100} and {got[i] for i in (300, 301, 302)} == {300}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_scan_reads_on_over_short_and_empty_partitions(spark):
+    """A region of five rows, in six partitions of one row or none, gives all its pairs within reach."""
+    from pyspark.sql import functions as F
+
+    zero = [f"cast(0 as bigint) s{i}" for i in range(4)]
+    node = "id - cast(id > 2 as int)"
+    forest = spark.range(0, 6, 1, 6).filter("id <> 2").selectExpr("cast(7 as bigint) key", f"{node} node", "cast(10 as bigint) n", f"{node} component", *zero)
+    assert forest.rdd.glom().map(len).collect() == [1, 1, 0, 1, 1, 1]
+    for reach in (1, 2, 3, 64):
+        found = {(r.a, r.b) for r in neardup._scan(forest, reach, True, 80).filter(F.col("kind") == neardup.PAIR).collect()}
+        assert found == {(i, j) for i in range(5) for j in range(i + 1, 5) if j - i <= reach}
+
+
+def test_open_regions_lose_no_link(spark, monkeypatch):
+    """Many texts of one template, too dense for the window and mostly not linked; links hidden among them are found."""
+    monkeypatch.setattr(neardup, "WINDOW", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    r = random.Random(3)
+    base = [f"t{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        w = base[:]
+        for at in r.sample(range(80), 7):
+            w[at] = f"x{i}y{at}"
+        rows.append((3 * i, " ".join(w)))
+        if i % 6 == 0:
+            w[r.randrange(80)] = f"z{i}"
+            rows.append((3 * i + 1, " ".join(w)))
+    check(spark, rows, 2)
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
