@@ -13,8 +13,8 @@ the minimum of a convex function whose value, gradient and second
 derivative are sums over documents.  Damped Newton steps find it to
 SOLVED of the budget, along falling regularisation, so that targets that
 the bounds do not allow end at their least squares too.  A step is one
-distributed aggregation of a small expression; nothing is gathered by
-document.  Totals that miss a target by more than TOLERANCE of the budget
+distributed aggregation that tries several dampings and lengths at once;
+nothing is gathered by document.  Totals that miss a target by more than TOLERANCE of the budget
 raise a MixingWarning that lists them.
 
 Rates become whole copies by a hash of the document: floor(r) and one
@@ -35,7 +35,7 @@ ignored except `carry`.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -49,10 +49,12 @@ FIT_ROWS = 20_000
 PRIOR_FEATURES = 20_000.0
 #: A word in capitals.
 SHOUT = r"\p{Lu}{4}"
-#: Passes before the solver gives up (it needs 10 to 50), and the miss of a target, in budgets, that is reported.
+#: Passes before the solver gives up (it needs 10 to 30), and the miss of a target, in budgets, that is reported.
 MAX_STEPS, TOLERANCE = 500, 1e-4
-#: Least regularisation, and the error of the solver in budgets.
-LEAST_WEIGHT, SOLVED = 1e-8, 1e-9
+#: Least regularisation, and the error of the solver in budgets, at the end and on the way there.
+LEAST_WEIGHT, SOLVED, ROUGH = 1e-8, 1e-9, 1e-3
+#: Newton steps that a pass tries: additions to the regularisation, and lengths.
+DAMPINGS, LENGTHS = (0.0, 1e-4, 1e-2, 1.0), (1.0, 0.5, 0.125, 1 / 64)
 #: Domain token shares that op10 and the pipeline mix to.
 TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
 
@@ -125,59 +127,79 @@ def _adding(table: Column):
     return lambda total, bucket: total + F.get(table, bucket)
 
 
+def solve_rates(evaluate: Callable[[list[np.ndarray]], list[tuple[np.ndarray, np.ndarray, float]]], goal: np.ndarray, gram: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """The dual vector x, the domain totals that it reaches, and the passes that it took.
+
+    evaluate: for each of some x, in one pass over the documents, the domain
+    totals, the Gram matrix of the documents within their bounds, and the
+    dual's value.  A pass tries Newton steps of several dampings and
+    lengths, and the one that falls lowest is taken.
+    """
+    x, solved = np.zeros(len(goal)), SOLVED * max(budget, 1e-9)
+    (reached, inner, value), steps, weight, stalled = evaluate([x])[0], 1, 0.1, False
+    while True:
+        slope = goal - reached + weight * gram @ x
+        if abs(slope).max() <= (solved if weight <= LEAST_WEIGHT else ROUGH * max(budget, 1e-9)) or stalled:
+            if weight <= LEAST_WEIGHT:
+                return x, reached, steps
+            weight, stalled = max(weight / 100, LEAST_WEIGHT), False
+            continue
+        if steps >= MAX_STEPS:
+            warnings.warn(f"mixing rates are not solved after {steps} passes: slope {slope.tolist()} of {budget} tokens", MixingWarning, stacklevel=3)
+            return x, reached, steps
+        tried = [x - length * np.linalg.lstsq(inner + (weight + more) * gram, slope, rcond=1e-14)[0] for more in DAMPINGS for length in LENGTHS]
+        found, steps = evaluate(tried), steps + 1
+        heights = [v + goal @ to + weight / 2 * to @ gram @ to for to, (_, _, v) in zip(tried, found, strict=True)]
+        best = int(np.argmin(heights))
+        stalled = not heights[best] < value + goal @ x + weight / 2 * x @ gram @ x
+        if stalled:  # at the end of the numbers' precision the slopes decide
+            slopes = [abs(goal - r + weight * gram @ to).max() for to, (r, _, _) in zip(tried, found, strict=True)]
+            best = int(np.argmin(slopes))
+            stalled = not slopes[best] < abs(slope).max()
+        if not stalled:
+            x, (reached, inner, value) = tried[best], found[best]
+
+
 def fit_rates(docs: DataFrame, posterior: Sequence[Column], targets: Sequence[float], floor: Column, max_rate: float, tokens: Column, total: float | None = None, anchor: int | None = None) -> tuple[Column, list[float], list[float]]:
     """The rate expression, the domain totals that it reaches and those wanted.  total: wanted tokens in all (those of docs if None); anchor: the domain whose own tokens set the total instead."""
     k = len(posterior)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def sums(weight: Column, within: Column, *more: Column) -> tuple[np.ndarray, np.ndarray, list[float]]:
-        """Domain totals under a weight, Gram matrix of the documents within, and further sums; all that leaves the executors."""
-        row = docs.agg(*map(F.sum, [*(weight * tokens * p for p in posterior), *(F.when(within, tokens * posterior[i] * posterior[j]) for i, j in pairs), *more])).first()
-        values, gram = [float(v or 0.0) for v in row], np.zeros((k, k))
-        for (i, j), v in zip(pairs, values[k:], strict=False):
-            gram[i, j] = gram[j, i] = v
-        return np.array(values[:k]), gram, values[k + len(pairs) :]
-
-    def rate_at(x: np.ndarray) -> tuple[Column, Column]:
+    def rate_at(x: Sequence[Column]) -> tuple[Column, Column]:
         """The rates before and after the bounds."""
-        free = F.lit(1.0) - sum((F.lit(v) * p for v, p in zip(x.tolist(), posterior, strict=True)), F.lit(0.0))
+        free = F.lit(1.0) - sum((v * p for v, p in zip(x, posterior, strict=True)), F.lit(0.0))
         return free, F.least(F.greatest(free, floor), F.lit(float(max_rate)))
 
-    def at(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        free, rate = rate_at(x)
-        moved = rate - 1.0
-        reached, gram, (value,) = sums(rate, (free >= floor) & (free <= max_rate), tokens * (rate * (free - 1.0) - moved * moved / 2))
-        return reached, gram, value
-
-    have, gram, _ = sums(F.lit(1.0), F.lit(True))
-    budget = have[anchor] / targets[anchor] if anchor is not None and targets[anchor] > 0 else total if total is not None else have.sum()
+    def evaluate(tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """A row for each point is all that leaves the executors."""
+        points = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.array(*map(F.lit, x.tolist())).alias("x")) for i, x in enumerate(tried)])).alias("__at")
+        free, rate = rate_at([F.get("__at.x", F.lit(i)) for i in range(k)])
+        rows = docs.select("*", points).withColumns({"__free": free, "__r": rate})
+        f, r = F.col("__free"), F.col("__r")
+        within, moved = (f >= floor) & (f <= max_rate), r - 1.0
+        sums = [*(r * tokens * p for p in posterior), *(F.when(within, tokens * posterior[i] * posterior[j]) for i, j in pairs), tokens * (r * (f - 1.0) - moved * moved / 2)]
+        found = {row[0]: [float(v or 0.0) for v in row[1:]] for row in rows.groupBy(F.col("__at.i").alias("__i")).agg(*map(F.sum, sums)).collect()}
+        out = []
+        for n in range(len(tried)):
+            values, inner = found.get(n, [0.0] * len(sums)), np.zeros((k, k))
+            for (i, j), v in zip(pairs, values[k:], strict=False):
+                inner[i, j] = inner[j, i] = v
+            out.append((np.array(values[:k]), inner, values[-1]))
+        return out
+
+    row = docs.agg(*map(F.sum, [*(tokens * p for p in posterior), *(tokens * posterior[i] * posterior[j] for i, j in pairs)])).first()
+    sums, gram = [float(v or 0.0) for v in row], np.zeros((k, k))
+    for (i, j), v in zip(pairs, sums[k:], strict=True):
+        gram[i, j] = gram[j, i] = v
+    have = sums[:k]
+    budget = have[anchor] / targets[anchor] if anchor is not None and targets[anchor] > 0 else total if total is not None else sum(have)
     wanted = budget * np.array(targets, float)
     # A part of the target that no rates can change is left out.
     goal = gram @ np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ wanted
-    x, solved = np.zeros(k), SOLVED * max(budget, 1e-9)
-    (reached, inner, value), steps, weight = at(x), 1, 0.1
-    while True:
-        slope = goal - reached + weight * gram @ x
-        if abs(slope).max() <= solved:
-            if weight <= LEAST_WEIGHT:
-                break
-            weight = max(weight / 10, LEAST_WEIGHT)
-            continue
-        if steps >= MAX_STEPS:
-            warnings.warn(f"mixing rates are not solved after {steps} passes: slope {slope.tolist()} of {budget} tokens", MixingWarning, stacklevel=2)
-            break
-        step, height = -np.linalg.lstsq(inner + weight * gram, slope, rcond=1e-14)[0], value + goal @ x + weight / 2 * x @ gram @ x
-        length = 1.0
-        while True:
-            to = x + length * step
-            new, steps = at(to), steps + 1
-            if new[2] + goal @ to + weight / 2 * to @ gram @ to <= height + 1e-4 * length * (slope @ step) + 1e-13 * abs(height) or length < 1e-8 or steps >= MAX_STEPS:
-                break
-            length /= 4
-        x, (reached, inner, value) = to, new
+    x, reached, _ = solve_rates(evaluate, goal, gram, budget)
     if abs(reached - wanted).max() > TOLERANCE * max(budget, 1e-9):
         warnings.warn(f"no rates within the bounds reach the targets: domain totals {reached.tolist()}, wanted {wanted.tolist()}", MixingWarning, stacklevel=2)
-    return rate_at(x)[1], reached.tolist(), wanted.tolist()
+    return rate_at([F.lit(v) for v in x.tolist()])[1], reached.tolist(), wanted.tolist()
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, max_rate: float = 8.0, keep: str | None = None, anchor: str | None = None, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
