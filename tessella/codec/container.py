@@ -21,6 +21,8 @@ NAMES |= {0xE0 + i: f"APP{i}" for i in range(16)} | {0xD0 + i: f"RST{i}" for i i
 SPIFF_MAGIC = b"SPIFF\0"
 TRANSFORM_MAGIC = b"mrfx"
 LARGEST_SIDE = 100_000
+#: Bytes of samples that decoding accepts unless told otherwise: three components of 7680 x 4320.
+LARGEST_IMAGE = 7680 * 4320 * 3
 TABLE_CHUNK = 65530
 INTERCHANGE, ABBREVIATED_IMAGE, ABBREVIATED_TABLES = 1, 2, 3
 OPTION_EVEN_SIZE, OPTION_VERSION_COMMENT, OPTION_PRESETS_OVER_12_BITS = 1, 2, 4
@@ -91,6 +93,17 @@ def check_frame(width: int, height: int, bits: int, components: int) -> None:
             raise JlsError(f"invalid_argument_{name}")
 
 
+def check_interleave(components: int, ilv: int, split: bool = False) -> None:
+    """split: the components are dealt to several scans."""
+    if ilv not in (PLANAR, LINE, SAMPLE) or (ilv != PLANAR and (components == 1 or (components > 4 and not split))):
+        raise JlsError("invalid_argument_interleave_mode")
+
+
+def check_near(near: int, maxval: int) -> None:
+    if not 0 <= near <= min(255, maxval // 2):
+        raise JlsError("invalid_argument_near_lossless")
+
+
 def transform_allowed(components: int, bits: int, near: int, ilv: int) -> bool:
     return components == 3 and bits in (8, 16) and near == 0 and ilv != PLANAR
 
@@ -137,8 +150,7 @@ def encode(planes: np.ndarray, bits: int, o: Options = Options()) -> bytes:
     check_frame(width, height, bits, n)
     if not 0 <= o.options <= 7:
         raise JlsError("invalid_argument_encoding_options")
-    if o.ilv not in (PLANAR, LINE, SAMPLE) or (o.ilv != PLANAR and n == 1) or (o.ilv != PLANAR and not o.scans and n > 4):
-        raise JlsError("invalid_argument_interleave_mode")
+    check_interleave(n, o.ilv, bool(o.scans))
     scans = list(o.scans) or ([Scan(1, o.near, PLANAR, o.presets)] * n if o.ilv == PLANAR else [Scan(n, o.near, o.ilv, o.presets)])
     if sum(s.components for s in scans) != n:
         raise JlsError("invalid_argument_component_count")
@@ -149,8 +161,7 @@ def encode(planes: np.ndarray, bits: int, o: Options = Options()) -> bytes:
     for s in scans:
         if (s.components == 1) != (s.ilv == PLANAR) or s.components > 4:
             raise JlsError("invalid_argument_interleave_mode")
-        if not 0 <= s.near <= min(255, (s.presets.maxval or top) // 2):
-            raise JlsError("invalid_argument_near_lossless")
+        check_near(s.near, s.presets.maxval or top)
         presets = resolve_presets(s.presets, top, s.near)
         if presets is None:
             raise JlsError("invalid_argument_jpegls_pc_parameters")
@@ -493,6 +504,19 @@ def read_header(content: bytes) -> Header:
     return Reader(content).read_header()
 
 
+def coded_end(data: bytes, at: int) -> int:
+    """Where a scan's coded data ends, restart markers (and fill bytes before them) skipped."""
+    end = entropy_end(data, at)
+    while end < len(data):
+        marker = end
+        while data[marker : marker + 1] == b"\xff":
+            marker += 1
+        if marker >= len(data) or not 0xD0 <= data[marker] <= 0xD7:
+            break
+        end = entropy_end(data, marker + 1)
+    return end
+
+
 def read_all(content: bytes) -> tuple[Header, list[tuple[int, int, bytes]], list[ScanInfo]]:
     """Header, segments and scans, without decoding samples: coded data is skipped to the marker that ends it."""
     reader = Reader(content)
@@ -500,13 +524,15 @@ def read_all(content: bytes) -> tuple[Header, list[tuple[int, int, bytes]], list
     scan = None if reader.ended else reader.scan
     while scan is not None:
         scans.append(scan)
-        end = entropy_end(reader.data, scan.offset)
-        while reader.data[end : end + 1] == b"\xff" and 0xD0 <= reader.data[end + 1] <= 0xD7:
-            end = entropy_end(reader.data, end + 2)
-        scan = reader.next_scan(end)
+        scan = reader.next_scan(coded_end(reader.data, scan.offset))
     return header, reader.segments, scans
 
 
+def _check_size(header: Header, max_bytes: int | None) -> None:
+    if max_bytes is not None and header.width * header.height * len(header.components) * ((header.bits + 7) // 8) > max_bytes:
+        raise JlsError("not_enough_memory")
+
+
 def decode(content: bytes, max_bytes: int | None = None, strict: bool = False) -> tuple[Header, np.ndarray]:
     """Header and planes (component, y, x) of an image file."""
     reader = Reader(content)
@@ -514,8 +540,7 @@ def decode(content: bytes, max_bytes: int | None = None, strict: bool = False) -
     if reader.ended:
         raise JlsError("invalid_operation")
     n = len(header.components)
-    if max_bytes is not None and header.width * header.height * n * ((header.bits + 7) // 8) > max_bytes:
-        raise JlsError("not_enough_memory")
+    _check_size(header, max_bytes)
     planes = np.zeros((n, header.height, header.width), np.int32)
     scan: ScanInfo | None = reader.scan
     while scan is not None:
@@ -527,6 +552,34 @@ def decode(content: bytes, max_bytes: int | None = None, strict: bool = False) -
     return header, planes
 
 
+def intervals(content: bytes, max_bytes: int | None = None) -> list[dict[str, Any]]:
+    """Every restart interval of every scan, with what its decoding needs; markers between them must count up from RST0."""
+    header, _, scans = read_all(content)
+    _check_size(header, max_bytes)
+    out = []
+    for s in scans:
+        at, y, number = s.offset, 0, 0
+        step = s.restart_interval or header.height
+        while y < header.height:
+            end = entropy_end(content, at)
+            out.append({"components": s.component_indices, "y0": y, "height": min(step, header.height - y), "width": header.width, "bits": header.bits, "near": s.near, "ilv": s.ilv, "transform": header.transform, "pc": [*s.presets.__dict__.values()], "data": content[at:end]})
+            y += step
+            if y < header.height:
+                at = end
+                while content[at : at + 1] == b"\xff":  # fill bytes may stand before a marker
+                    at += 1
+                if at == end or content[at : at + 1] != bytes([0xD0 + number % 8]):
+                    raise JlsError("restart_marker_not_found")
+                at, number = at + 1, number + 1
+    return out
+
+
+def decode_interval(data: bytes, r: dict[str, Any]) -> np.ndarray:
+    """Planes of one of intervals()."""
+    planes, _ = decode_scan(data + b"\xff\xd9", 0, len(r["components"]), r["width"], r["height"], r["bits"], r["near"], r["ilv"], Presets(*r["pc"]))
+    return transform_planes(planes, r["transform"], r["bits"], inverse=True).astype(np.int32) if r["transform"] else planes
+
+
 def to_planes(buffer: bytes, width: int, height: int, bits: int, components: int, ilv: int, stride: int = 0) -> np.ndarray:
     """Planes of a raw buffer: planar for ilv 0, else pixel by pixel; samples over eight bits are little-endian 16-bit."""
     kind = np.dtype("u1") if bits <= 8 else np.dtype("<u2")

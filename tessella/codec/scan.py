@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -15,6 +15,10 @@ RUN_ORDERS = (0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 5, 5, 6, 6,
 CONTEXTS = 365
 PLANAR, LINE, SAMPLE = 0, 1, 2
 LARGEST_ERROR = 65535
+#: Sums of a context beyond this are no valid data.
+LARGEST_SUM = 65536 * 256
+#: Bits that a look-up of a whole code word reads.
+LOOK = 12
 
 
 @dataclass(frozen=True)
@@ -65,11 +69,34 @@ def is_default(p: Presets, bits_max: int, near: int) -> bool:
 
 
 @lru_cache(maxsize=16)
-def gradient_levels(bits: int, near: int, p: Presets) -> list[int]:
-    """-4..4 for every gradient of samples of so many bits, from the lowest."""
-    size = np.abs(np.arange(-(1 << bits) + 1, 1 << bits))
-    level = np.where(size >= p.t3, 4, np.where(size >= p.t2, 3, np.where(size >= p.t1, 2, np.where(size > near, 1, 0))))
-    return (level * np.sign(np.arange(-(1 << bits) + 1, 1 << bits))).tolist()
+def gradient_levels(bits: int, near: int, p: Presets) -> tuple[list[int], list[int], list[int]]:
+    """-4..4 for every gradient of samples of so many bits, times 81, 9 and 1; negative gradients are negative indices."""
+    gradient = np.concatenate([np.arange(1 << bits), np.arange(-(1 << bits) + 1, 0)])
+    size = np.abs(gradient)
+    level = np.where(size >= p.t3, 4, np.where(size >= p.t2, 3, np.where(size >= p.t1, 2, np.where(size > near, 1, 0)))) * np.sign(gradient)
+    return (level * 81).tolist(), (level * 9).tolist(), level.tolist()
+
+
+@lru_cache(maxsize=16)
+def golomb_table(k: int) -> dict[str, tuple[int, int]]:
+    """(error, length) of the code words of parameter k that the next LOOK bits hold wholly."""
+    table = {}
+    for value in range(1, 1 << LOOK):
+        high = LOOK - value.bit_length()
+        size = high + 1 + k
+        if size <= LOOK:
+            mapped = (high << k) + (value >> (LOOK - size) & ((1 << k) - 1))
+            table[format(value, f"0{LOOK}b")] = (-(mapped + 1 >> 1) if mapped & 1 else mapped >> 1), size
+    return table
+
+
+@lru_cache(maxsize=1 << 16)
+def golomb_word(k: int, mapped: int, escape: int, qbpp: int) -> str:
+    """The code word of a mapped error; `escape` zeros announce a plain binary one."""
+    high = mapped >> k
+    if high < escape:
+        return "0" * high + "1" + (format(mapped & ((1 << k) - 1), f"0{k}b") if k else "")
+    return "0" * escape + "1" + format((mapped - 1) & ((1 << qbpp) - 1), f"0{qbpp}b")
 
 
 class Model:
@@ -89,17 +116,17 @@ class Model:
         self.span = self.range * self.step
         self.half = (self.range + 1) // 2
         self.levels = gradient_levels(bits, near, presets)
-        self.zero = (1 << bits) - 1
         self.restart()
 
     def restart(self) -> None:
         first = max(2, (self.range + 32) // 64)
-        self.a, self.b, self.c, self.n = [first] * CONTEXTS, [0] * CONTEXTS, [0] * CONTEXTS, [1] * CONTEXTS
+        #: A, B, C and N of every context.
+        self.state: list[tuple[int, int, int, int]] = [(first, 0, 0, 1)] * CONTEXTS
         self.run_a, self.run_n, self.run_nn = [first, first], [1, 1], [0, 0]
 
     def context(self, ra: int, rb: int, rc: int, rd: int) -> int:
-        q, z = self.levels, self.zero
-        return (q[rd - rb + z] * 9 + q[rb - rc + z]) * 9 + q[rc - ra + z]
+        one, two, three = self.levels
+        return one[rd - rb] + two[rb - rc] + three[rc - ra]
 
     def error(self, difference: int) -> int:
         """The quantised difference within RANGE values around 0."""
@@ -119,44 +146,6 @@ class Model:
             value -= self.span
         return min(max(value, 0), self.maxval)
 
-    def predict(self, index: int, sign: int, ra: int, rb: int, rc: int) -> int:
-        if rc >= max(ra, rb):
-            px = min(ra, rb)
-        elif rc <= min(ra, rb):
-            px = max(ra, rb)
-        else:
-            px = ra + rb - rc
-        px += -self.c[index] if sign < 0 else self.c[index]
-        return min(max(px, 0), self.maxval)
-
-    def order(self, index: int) -> int:
-        """Golomb parameter of a regular context."""
-        k, n, a = 0, self.n[index], self.a[index]
-        while n << k < a:
-            k += 1
-            if k >= 16:
-                raise JlsError("invalid_data")
-        return k
-
-    def correction(self, index: int, k: int) -> int:
-        return -1 if k == 0 and self.near == 0 and 2 * self.b[index] + self.n[index] - 1 < 0 else 0
-
-    def update(self, index: int, e: int) -> None:
-        a, b, n = self.a[index] + abs(e), self.b[index] + e * self.step, self.n[index]
-        if a >= 65536 * 256 or abs(b) >= 65536 * 256:
-            raise JlsError("invalid_data")
-        if n == self.reset:
-            a, b, n = a >> 1, b >> 1, n >> 1
-        n += 1
-        c = self.c[index]
-        if b + n <= 0:
-            b = max(b + n, -n + 1)
-            c = max(c - 1, -128)
-        elif b > 0:
-            b = min(b - n, 0)
-            c = min(c + 1, 127)
-        self.a[index], self.b[index], self.c[index], self.n[index] = a, b, c, n
-
     def run_order(self, kind: int) -> int:
         k, n, a = 0, self.run_n[kind], self.run_a[kind] + (self.run_n[kind] >> 1) * kind
         while n << k < a:
@@ -178,12 +167,15 @@ class Model:
 
 def stuff(bits: str) -> bytes:
     """Bytes of a bit string; after a byte 0xFF only seven bits follow, and the end is padded with zeros."""
-    out, at, width = bytearray(), 0, 8
-    while at < len(bits) or width == 7:
-        byte = int(bits[at : at + width].ljust(width, "0"), 2)
-        out.append(byte)
-        at += width
-        width = 7 if byte == 0xFF else 8
+    out, at, lead = bytearray(), 0, ""
+    while at < len(bits) or lead:
+        chunk = lead + bits[at : at + 2048 - len(lead)]
+        size = (len(chunk) + 7) // 8
+        raw = int(chunk.ljust(8 * size, "0"), 2).to_bytes(size, "big")
+        whole = raw.find(b"\xff") + 1
+        out += raw[:whole] if whole else raw
+        at += 8 * (whole or 256) - len(lead)
+        lead = "0" if whole else ""
     return bytes(out)
 
 
@@ -246,12 +238,15 @@ class _Coder:
             self.end(y < height)
 
     def line(self, before: list[int], now: list[int], samples: list[int], width: int) -> None:
-        context, x = self.model.context, 1
+        one, two, three = self.model.levels
+        regular, x = self.regular, 1
+        ra, rb, rc = now[0], before[1], before[0]
         while x <= width:
-            ra, rb, rc = now[x - 1], before[x], before[x - 1]
-            q = context(ra, rb, rc, before[x + 1])
+            rd = before[x + 1]
+            q = one[rd - rb] + two[rb - rc] + three[rc - ra]
             if q:
-                now[x] = self.regular(q, ra, rb, rc, samples[x - 1])
+                ra = now[x] = regular(q, ra, rb, rc, samples[x - 1])
+                rc, rb = rb, rd
                 x += 1
                 continue
             length = self.run(width - x + 1, [ra], [samples], x - 1)
@@ -261,6 +256,7 @@ class _Coder:
                 now[x] = self.interruption(ra, before[x], samples[x - 1])
                 self.run_index = max(0, self.run_index - 1)
                 x += 1
+                ra, rb, rc = now[x - 1], before[x], before[x - 1]
 
     def pixels(self, before: list[list[int]], now: list[list[int]], samples: list[list[int]], width: int) -> None:
         context, x, parts = self.model.context, 1, range(len(before))
@@ -291,28 +287,72 @@ class Encoder(_Coder):
 
     def begin(self) -> None:
         self.words: list[str] = []
+        self.regular = self._regular()
 
     def end(self, more: bool) -> None:
         self.parts = [*getattr(self, "parts", []), stuff("".join(self.words))]
 
     def code(self, k: int, mapped: int, limit: int) -> None:
-        high, escape = mapped >> k, limit - self.model.qbpp - 1
-        if high < escape:
-            self.words.append("0" * high + "1")
-            if k:
-                self.words.append(format(mapped & ((1 << k) - 1), f"0{k}b"))
-        else:
-            self.words.append("0" * escape + "1" + format((mapped - 1) & ((1 << self.model.qbpp) - 1), f"0{self.model.qbpp}b"))
+        self.words.append(golomb_word(k, mapped, limit - self.model.qbpp - 1, self.model.qbpp))
 
-    def regular(self, q: int, ra: int, rb: int, rc: int, x: int) -> int:
-        m, sign, index = self.model, -1 if q < 0 else 1, abs(q)
-        px = m.predict(index, sign, ra, rb, rc)
-        e = m.error(sign * (x - px))
-        k = m.order(index)
-        corrected = e ^ m.correction(index, k)
-        self.code(k, 2 * corrected if corrected >= 0 else -2 * corrected - 1, m.limit)
-        m.update(index, e)
-        return m.sample(px, sign * e) if m.near else x
+    def _regular(self) -> Callable[[int, int, int, int, int], int]:
+        """The coding of a regular sample: prediction, code word and update, in one piece and with all that stays the same bound."""
+        m = self.model
+        state, maxval, span, half, lossless, append = m.state, m.maxval, m.range, m.half, not m.near, self.words.append
+        escape, qbpp, error, sample, step, reset = m.limit - m.qbpp - 1, m.qbpp, m.error, m.sample, m.step, m.reset
+
+        def regular(q: int, ra: int, rb: int, rc: int, x: int) -> int:
+            index = q if q >= 0 else -q
+            a, b, c, n = state[index]
+            if rc < ra:
+                px = ra + rb - rc if rc > rb else ra if ra > rb else rb
+            elif rc < rb:
+                px = ra + rb - rc
+            else:
+                px = ra if ra < rb else rb
+            px += c if q >= 0 else -c
+            if px < 0:
+                px = 0
+            elif px > maxval:
+                px = maxval
+            e = x - px if q >= 0 else px - x
+            if lossless:
+                if e < 0:
+                    e += span
+                if e >= half:
+                    e -= span
+            else:
+                e = error(e)
+            k = ((a - 1) // n).bit_length() if a else 0
+            if k > 15:
+                raise JlsError("invalid_data")
+            folded = ~e if k == 0 and lossless and 2 * b + n <= 0 else e
+            append(golomb_word(k, 2 * folded if folded >= 0 else -2 * folded - 1, escape, qbpp))
+            a += e if e >= 0 else -e
+            b += e * step
+            if a >= LARGEST_SUM or not -LARGEST_SUM < b < LARGEST_SUM:
+                raise JlsError("invalid_data")
+            if n == reset:
+                a >>= 1
+                b >>= 1
+                n >>= 1
+            n += 1
+            if b > 0:
+                b -= n
+                if b > 0:
+                    b = 0
+                if c < 127:
+                    c += 1
+            elif b + n <= 0:
+                b += n
+                if b <= -n:
+                    b = 1 - n
+                if c > -128:
+                    c -= 1
+            state[index] = a, b, c, n
+            return x if lossless else sample(px, e if q >= 0 else -e)
+
+        return regular
 
     def run(self, left: int, ra: list[int], samples: list[list[int]], at: int) -> int:
         near, length = self.model.near, 0
@@ -355,11 +395,15 @@ class Decoder(_Coder):
         end = entropy_end(self.data, self.position)
         self.bits, self.at = unstuff(self.data[self.position : end]), 0
         self.position = end
+        self.regular = self._regular()
 
     def end(self, more: bool) -> None:
         if self.position >= len(self.data):
             raise JlsError("need_more_data")
         rest = self.bits[self.at :]
+        if not more and 8 < len(rest) < 16 and self.data[self.position - 1 : self.position + 2] == b"\0\xff\xd9":
+            self.position -= 1  # a byte of padding before the end of the image
+            rest = rest[:-8]
         if len(rest) > 8 or "1" in rest:
             raise JlsError("restart_marker_not_found" if more else "invalid_data")
         if more:
@@ -390,17 +434,70 @@ class Decoder(_Coder):
             raise JlsError("invalid_data")
         return self.read(self.model.qbpp) + 1
 
-    def regular(self, q: int, ra: int, rb: int, rc: int, x: int) -> int:
-        m, sign, index = self.model, -1 if q < 0 else 1, abs(q)
-        px = m.predict(index, sign, ra, rb, rc)
-        k = m.order(index)
-        mapped = self.decode(k, m.limit)
-        e = mapped >> 1 if mapped % 2 == 0 else -(mapped >> 1) - 1
-        if abs(e) > LARGEST_ERROR:
-            raise JlsError("invalid_data")
-        e ^= m.correction(index, k)
-        m.update(index, e)
-        return m.sample(px, sign * e)
+    def _regular(self) -> Callable[[int, int, int, int, int], int]:
+        """The decoding of a regular sample: prediction, code word and update, in one piece and with all that stays the same bound."""
+        m, bits = self.model, self.bits
+        state, maxval, step, span, near, limit, reset = m.state, m.maxval, m.step, m.span, m.near, m.limit, m.reset
+        tables = [golomb_table(k).get for k in range(16)]
+
+        def regular(q: int, ra: int, rb: int, rc: int, _: int) -> int:
+            index = q if q >= 0 else -q
+            a, b, c, n = state[index]
+            if rc < ra:
+                px = ra + rb - rc if rc > rb else ra if ra > rb else rb
+            elif rc < rb:
+                px = ra + rb - rc
+            else:
+                px = ra if ra < rb else rb
+            px += c if q >= 0 else -c
+            if px < 0:
+                px = 0
+            elif px > maxval:
+                px = maxval
+            k, at = ((a - 1) // n).bit_length() if a else 0, self.at
+            if k > 15:
+                raise JlsError("invalid_data")
+            found = tables[k](bits[at : at + LOOK])
+            if found is not None:
+                e, size = found
+                self.at = at + size
+            else:
+                mapped = self.decode(k, limit)
+                e = -(mapped + 1 >> 1) if mapped & 1 else mapped >> 1
+                if not -LARGEST_ERROR <= e <= LARGEST_ERROR:
+                    raise JlsError("invalid_data")
+            if k == 0 and near == 0 and 2 * b + n <= 0:
+                e = ~e
+            a += e if e >= 0 else -e
+            b += e * step
+            if a >= LARGEST_SUM or not -LARGEST_SUM < b < LARGEST_SUM:
+                raise JlsError("invalid_data")
+            if n == reset:
+                a >>= 1
+                b >>= 1
+                n >>= 1
+            n += 1
+            if b > 0:
+                b -= n
+                if b > 0:
+                    b = 0
+                if c < 127:
+                    c += 1
+            elif b + n <= 0:
+                b += n
+                if b <= -n:
+                    b = 1 - n
+                if c > -128:
+                    c -= 1
+            state[index] = a, b, c, n
+            value = px + e * step if q >= 0 else px - e * step
+            if value < -near:
+                value += span
+            elif value > maxval + near:
+                value -= span
+            return 0 if value < 0 else maxval if value > maxval else value
+
+        return regular
 
     def run(self, left: int, ra: list[int], samples: list[list[int]], at: int) -> int:
         length = 0

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessella.codec import container
 from tessella.codec.container import NAMES, Options, Reader
-from tessella.codec.scan import Presets, decode_scan, entropy_end
 from tessella.functions.errors import JlsError, error_message
 
 PERMISSIVE, FAILFAST, DROPMALFORMED = "PERMISSIVE", "FAILFAST", "DROPMALFORMED"
+#: Samples of one batch of decoded lines.
+MOST_SAMPLES = 1 << 24
 PRESETS = "struct<maxval:int,t1:int,t2:int,t3:int,reset:int>"
 SPIFF = "struct<profile_id:int,component_count:int,height:long,width:long,color_space:int,bits_per_sample:int,compression_type:int,resolution_units:int,vertical_resolution:long,horizontal_resolution:long>"
 HEADERS = (
@@ -27,13 +30,13 @@ HEADERS = (
 def encode_lines(lines: DataFrame, bits: int, options: Options = Options()) -> DataFrame:
     """(image_id, component, y, samples) -> (image_id, content): one file for each image."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["component", "y"])
-        n = p.component.nunique()
-        planes = np.stack(p.samples.to_numpy()).reshape(n, len(p) // n, -1)
-        return pd.DataFrame({"image_id": [p.image_id.iloc[0]], "content": [container.encode(planes, bits, options)]})
+    def run(t: pa.Table) -> pa.Table:
+        t = t.select(["image_id", "component", "y", "samples"]).sort_by([("component", "ascending"), ("y", "ascending")])
+        n = len(t.column("component").unique())
+        planes = t.column("samples").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, len(t) // n, -1)
+        return pa.table({"image_id": t.column("image_id")[:1].cast(pa.int64()), "content": pa.array([container.encode(planes, bits, options)], pa.binary())})
 
-    return lines.groupBy("image_id").applyInPandas(run, "image_id long, content binary")
+    return lines.groupBy("image_id").applyInArrow(run, "image_id long, content binary")
 
 
 def encode_raw(images: DataFrame) -> DataFrame:
@@ -55,6 +58,24 @@ def encode_raw(images: DataFrame) -> DataFrame:
     return out.withColumn("error_message", error_message(F.col("errc")))
 
 
+def raw_buffers(lines: DataFrame, bits: int, ilv: int, stride: int = 0) -> DataFrame:
+    """(image_id, component, y, samples) -> (image_id, content): the raw buffer of each image, planar for ilv 0, else pixel by pixel."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.select(["image_id", "component", "y", "samples"]).sort_by([("component", "ascending"), ("y", "ascending")])
+        n = len(t.column("component").unique())
+        planes = t.column("samples").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, len(t) // n, -1)
+        return pa.table({"image_id": t.column("image_id")[:1].cast(pa.int64()), "content": pa.array([container.from_planes(planes, bits, ilv, stride)], pa.binary())})
+
+    return lines.groupBy("image_id").applyInArrow(run, "image_id long, content binary")
+
+
+def bmp_order(lines: DataFrame) -> DataFrame:
+    """Lines from the bottom up with components in reverse, as in BMP files (and back again)."""
+    ends = lines.groupBy("image_id").agg(F.max("y").alias("__y"), F.max("component").alias("__c"))
+    return lines.join(ends, "image_id").select("image_id", (F.col("__c") - F.col("component")).cast("int").alias("component"), (F.col("__y") - F.col("y")).cast("int").alias("y"), "samples")
+
+
 def by_mode(df: DataFrame, mode: str) -> DataFrame:
     """PERMISSIVE keeps rows that failed, with errc; DROPMALFORMED drops them; FAILFAST raises on them."""
     if mode == DROPMALFORMED:
@@ -64,9 +85,10 @@ def by_mode(df: DataFrame, mode: str) -> DataFrame:
     return df
 
 
-def _guarded(r, f) -> tuple:
+def _guarded(content: bytes | None, f) -> tuple:
+    """f(content) and 0, or None and the error's code."""
     try:
-        return f(bytes(r.content) if r.content is not None else b""), 0
+        return f(bytes(content) if content is not None else b""), 0
     except JlsError as e:
         return None, e.errc
 
@@ -90,9 +112,6 @@ def _header_row(image_id: int, h: container.Header | None, errc: int) -> dict:
 
 def read_headers(images: DataFrame, mode: str = PERMISSIVE) -> DataFrame:
     """(image_id, content) -> headers and the data format, without decoding samples."""
-    import pyspark.sql.types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     schema = T._parse_datatype_string(HEADERS)
     arrow = to_arrow_schema(schema)
 
@@ -122,10 +141,7 @@ def read_segments(images: DataFrame) -> DataFrame:
                     reader.read_header()
                     at = None if reader.ended else reader.scan.offset
                     while at is not None:
-                        end = entropy_end(reader.data, at)
-                        while reader.data[end : end + 1] == b"\xff" and 0xD0 <= reader.data[end + 1] <= 0xD7:
-                            end = entropy_end(reader.data, end + 2)
-                        scan = reader.next_scan(end)
+                        scan = reader.next_scan(container.coded_end(reader.data, at))
                         at = scan.offset if scan else None
                 except JlsError:
                     pass  # what stands before the fault is returned; headers tell the code
@@ -138,52 +154,76 @@ def read_segments(images: DataFrame) -> DataFrame:
 DECODED = "image_id long, component int, y int, samples array<int>, errc int"
 
 
-def decode_images(images: DataFrame, mode: str = PERMISSIVE, max_bytes: int | None = None) -> DataFrame:
-    """(image_id, content) -> lines (image_id, component, y, samples, errc); a file that fails is one row with its errc."""
+def _line_rows(image_id: int, components: Sequence[int], y0: int, planes: np.ndarray) -> pa.RecordBatch:
+    """The lines of planes (component, y, x) as rows of DECODED; the samples stay one buffer."""
+    n, h, w = planes.shape
+    offsets = pa.array(np.arange(0, n * h * w + 1, w, dtype=np.int32) if w else np.zeros(n * h + 1, np.int32))
+    samples = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(planes, np.int32).ravel()))
+    columns = [pa.array(np.full(n * h, image_id), pa.int64()), pa.array(np.repeat(np.asarray(components, np.int32), h)), pa.array(np.tile(np.arange(y0, y0 + h, dtype=np.int32), n)), samples, pa.array(np.zeros(n * h, np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["image_id", "component", "y", "samples", "errc"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            for r in p.itertuples():
-                found, errc = _guarded(r, lambda content: container.decode(content, max_bytes)[1])
+
+def _failed_row(image_id: int, errc: int) -> pa.RecordBatch:
+    columns = [pa.array([image_id], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.int32())), pa.array([errc], pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["image_id", "component", "y", "samples", "errc"])
+
+
+def _pieces(planes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(component, y0, lines) of at most MOST_SAMPLES samples, so that a list's offsets never overflow."""
+    step = max(1, MOST_SAMPLES // max(1, planes.shape[2]))
+    for i, plane in enumerate(planes):
+        for y in range(0, len(plane), step):
+            yield i, y, plane[None, y : y + step]
+
+
+def decode_images(images: DataFrame, mode: str = PERMISSIVE, max_bytes: int | None = container.LARGEST_IMAGE) -> DataFrame:
+    """(image_id, content) -> lines (image_id, component, y, samples, errc); a file that fails, or whose header claims more than max_bytes, is one row with its errc."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image_id, content in zip(batch.column("image_id").to_pylist(), batch.column("content"), strict=True):
+                found, errc = _guarded(content.as_py(), lambda data: container.decode(data, max_bytes)[1])
                 if found is None:
-                    yield pd.DataFrame({"image_id": [r.image_id], "component": [None], "y": [None], "samples": [None], "errc": [errc]})
+                    yield _failed_row(image_id, errc)
+                    continue
+                if found.size <= MOST_SAMPLES:
+                    yield _line_rows(image_id, range(len(found)), 0, found)
                     continue
-                n, h, _ = found.shape
-                yield pd.DataFrame({"image_id": r.image_id, "component": np.repeat(np.arange(n), h), "y": np.tile(np.arange(h), n), "samples": [line for plane in found for line in plane], "errc": 0})
+                for i, y, lines in _pieces(found):
+                    yield _line_rows(image_id, [i], y, lines)
 
-    return by_mode(images.select("image_id", "content").mapInPandas(run, DECODED), mode)
+    return by_mode(images.select(F.col("image_id").cast("long"), "content").mapInArrow(run, DECODED), mode)
 
 
-def decode_by_interval(images: DataFrame) -> DataFrame:
+def decode_by_interval(images: DataFrame, mode: str = PERMISSIVE, max_bytes: int | None = container.LARGEST_IMAGE) -> DataFrame:
     """Decodes every restart interval of every scan as a row of its own: an image's intervals run in parallel.
 
     An interval starts with a fresh model, so that it depends on nothing
-    before it.  Lines as from decode_images, before any color transform.
+    before it.  Lines as from decode_images, with their color transform
+    undone.  A file that fails before its intervals are known is one row
+    with its errc; an interval that fails is such a row too.
     """
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            out = []
-            for r in p.itertuples():
-                header, _, scans = container.read_all(bytes(r.content))
-                for s in scans:
-                    at, y = s.offset, 0
-                    step = s.restart_interval or header.height
-                    while y < header.height:
-                        end = entropy_end(r.content, at)
-                        out.append((r.image_id, s.component_indices, y, min(step, header.height - y), header.width, header.bits, s.near, s.ilv, [*s.presets.__dict__.values()], bytes(r.content[at:end])))
-                        at, y = end + 2, y + step
-            yield pd.DataFrame(out, columns=["image_id", "components", "y0", "height", "width", "bits", "near", "ilv", "pc", "data"])
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image_id, content in zip(batch.column("image_id").to_pylist(), batch.column("content"), strict=True):
+                found, errc = _guarded(content.as_py(), lambda data: container.intervals(data, max_bytes))
+                rows = [{"image_id": image_id, "errc": 0} | x for x in found] if found is not None else [{"image_id": image_id, "errc": errc}]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            for r in p.itertuples():
-                planes, _ = decode_scan(bytes(r.data) + b"\xff\xd9", 0, len(r.components), r.width, r.height, r.bits, r.near, r.ilv, Presets(*map(int, r.pc)))
-                for c, plane in zip(r.components, planes, strict=True):
-                    yield pd.DataFrame({"image_id": r.image_id, "component": int(c), "y": np.arange(r.y0, r.y0 + r.height), "samples": list(plane)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["errc"]:
+                    yield _failed_row(r["image_id"], r["errc"])
+                    continue
+                planes, errc = _guarded(r["data"], lambda data, r=r: container.decode_interval(data, r))
+                yield _failed_row(r["image_id"], errc) if planes is None else _line_rows(r["image_id"], r["components"], r["y0"], planes)
 
-    parts = images.select("image_id", "content").mapInPandas(split, "image_id long, components array<int>, y0 int, height int, width int, bits int, near int, ilv int, pc array<int>, data binary")
-    return parts.repartition(F.col("image_id"), F.col("y0")).mapInPandas(run, "image_id long, component int, y int, samples array<int>")
+    schema = T._parse_datatype_string("image_id long, errc int, components array<int>, y0 int, height int, width int, bits int, near int, ilv int, transform int, pc array<int>, data binary")
+    arrow = to_arrow_schema(schema)
+    parts = images.select(F.col("image_id").cast("long"), "content").mapInArrow(split, schema)
+    return by_mode(parts.repartition(F.col("image_id"), F.col("y0")).mapInArrow(run, DECODED), mode)
 
 
 def compare(one: DataFrame, two: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ class _Fold(Encoder):
 
     def taken(self) -> str:
         word = "".join(self.words)
-        self.words = []
+        self.words.clear()
         return word
 
 

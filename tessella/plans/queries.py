@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import __version__
+from tessella.codec import container
 from tessella.codec.container import Options, Scan
 from tessella.codec.scan import SAMPLE, Presets
 from tessella.functions import scalar as S
-from tessella.functions.errors import CODES, error_message
+from tessella.functions.errors import CODES, JlsError, error_message
 from tessella.operators import corpus
 from tessella.operators.folds import encode_lossless
 from tessella.operators.template import contexts, modes, neighbours, runs
@@ -64,12 +66,40 @@ over_grid(
     {"size": "CASE WHEN stride = 0 THEN w::BIGINT * ((bits + 7) // 8) * h * n WHEN ilv = 0 AND stride >= w * ((bits + 7) // 8) THEN stride::BIGINT * h * n - (stride - w * ((bits + 7) // 8)) WHEN ilv = 1 AND stride >= w * ((bits + 7) // 8) * n THEN stride::BIGINT * h - (stride - w * ((bits + 7) // 8) * n) END"},
 )
 
-ARGS = {"w": "CASE id % 7 WHEN 0 THEN 0 WHEN 1 THEN 100001 ELSE id END", "h": "CASE WHEN id % 11 = 0 THEN 0 ELSE 5 END", "bits": "id % 19", "n": "id % 5 * 64", "ilv": "id % 4", "near": "id % 300"}
-over_grid(
-    "v01_argument_validation", 3000, ARGS,
-    {"errc": lambda: F.when(~c("w").between(1, 100000), 102).when(~c("h").between(1, 100000), 103).when(~c("bits").between(2, 16), 104).when(~c("n").between(1, 255), 105).when((c("ilv") > 2) | ((c("ilv") > 0) & (c("n") == 1)), 106).when(c("near") > S.max_near(S.max_value(c("bits"))), 107).otherwise(0)},
-    {"errc": "(CASE WHEN w NOT BETWEEN 1 AND 100000 THEN 102 WHEN h NOT BETWEEN 1 AND 100000 THEN 103 WHEN bits NOT BETWEEN 2 AND 16 THEN 104 WHEN n NOT BETWEEN 1 AND 255 THEN 105 WHEN ilv > 2 OR (ilv > 0 AND n = 1) THEN 106 WHEN near > least(255, ((1 << bits) - 1) // 2) THEN 107 ELSE 0 END)::INT"},
-)
+ARGS = {"w": "CASE id % 7 WHEN 0 THEN 0 WHEN 1 THEN 100001 ELSE id END", "h": "CASE WHEN id % 11 = 0 THEN 0 ELSE 5 END", "bits": "id % 19", "n": "CASE WHEN id % 13 = 0 THEN 256 ELSE id % 7 END", "ilv": "id % 4", "near": "id % 300"}
+
+
+def _in_python(df: DataFrame, schema: str, f: Callable[[dict], list[tuple]]) -> DataFrame:
+    """The rows that the library's own function f makes of each row."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        import pandas as pd
+
+        for p in batches:
+            yield pd.DataFrame([out for r in p.to_dict("records") for out in f(r)], columns=names)
+
+    return df.mapInPandas(run, schema)
+
+
+@query(
+    "v01_argument_validation",
+    "SELECT id, (CASE WHEN w NOT BETWEEN 1 AND 100000 THEN 102 WHEN h NOT BETWEEN 1 AND 100000 THEN 103 WHEN bits NOT BETWEEN 2 AND 16 THEN 104 WHEN n NOT BETWEEN 1 AND 255 THEN 105 WHEN ilv > 2 OR (ilv > 0 AND (n = 1 OR n > 4)) THEN 106 WHEN near > least(255, ((1 << bits) - 1) // 2) THEN 107 ELSE 0 END)::INT AS errc "
+    f"FROM ({grid_sql(3000, **ARGS)}) g",
+)
+def v01_argument_validation(spark, sf_dir):
+    def check(r):
+        try:
+            container.check_frame(r["w"], r["h"], r["bits"], r["n"])
+            container.check_interleave(r["n"], r["ilv"])
+            container.check_near(r["near"], (1 << r["bits"]) - 1)
+        except JlsError as e:
+            return [(r["id"], e.errc)]
+        return [(r["id"], 0)]
+
+    return _in_python(grid(spark, 3000, **ARGS), "id long, errc int", check)
+
+
 over_grid("p19_color_transform_allowed", 1000, {"n": "id % 5", "bits": "id % 15 + 2", "near": "id % 2", "ilv": "id % 3"}, {"allowed": lambda: S.color_transform_allowed(c("n"), c("bits"), c("near"), c("ilv"))}, {"allowed": "n = 3 AND bits IN (8, 16) AND near = 0 AND ilv <> 0"})
 
 # Scalar functions.
@@ -156,7 +186,11 @@ def f26_version(spark, sf_dir):
 
 def _rgb(spark, sf_dir):
     """(image_id, y, x, r, g, b)."""
-    lines = rgb_lines(spark, sf_dir).groupBy("image_id", "y").agg(*[F.max(F.when(c("component") == i, c("samples"))).alias(k) for i, k in enumerate("rgb")])
+    return _pivot(rgb_lines(spark, sf_dir))
+
+
+def _pivot(lines):
+    lines = lines.groupBy("image_id", "y").agg(*[F.max(F.when(c("component") == i, c("samples"))).alias(k) for i, k in enumerate("rgb")])
     return lines.select("image_id", "y", F.posexplode(F.arrays_zip("r", "g", "b")).alias("x", "p")).select("image_id", "y", "x", "p.*")
 
 
@@ -186,25 +220,18 @@ for _i, _name in enumerate(("hp1", "hp2", "hp3"), 2):
     _transform_queries(_i, _name)
 
 
-@query("e11_planar_to_pixel", f"WITH {RGB_SQL} SELECT image_id, component, y, x, sample, row_number() OVER (PARTITION BY image_id ORDER BY component, y, x) - 1 AS planar, row_number() OVER (PARTITION BY image_id ORDER BY y, x, component) - 1 AS pixelwise FROM img")
+@query("e11_planar_to_pixel", f"WITH {RGB_SQL}, p AS (SELECT image_id, sample AS planar, row_number() OVER (PARTITION BY image_id ORDER BY component, y, x) - 1 AS place FROM img), q AS (SELECT image_id, sample AS pixelwise, row_number() OVER (PARTITION BY image_id ORDER BY y, x, component) - 1 AS place FROM img) SELECT image_id, place::INT AS place, planar, pixelwise FROM p JOIN q USING (image_id, place)")
 def e11_planar_to_pixel(spark, sf_dir):
-    rows = pixels(rgb_lines(spark, sf_dir))
-    # Places follow from the frame; no sort is needed.
-    w, h, n = F.lit(21), F.max("y").over(_image()) + 1, F.lit(3)
-    planar = ((c("component") * h + c("y")) * w + c("x")).cast("long")
-    return rows.select("image_id", "component", "y", "x", "sample", planar.alias("planar"), ((c("y") * w + c("x")) * n + c("component")).cast("long").alias("pixelwise"))
-
-
-def _image():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("image_id")
+    """The bytes of both raw layouts, place by place."""
+    lines = rgb_lines(spark, sf_dir)
+    byte = lambda k: F.conv(F.hex(F.substring(c(k), c("place") + 1, F.lit(1))), 16, 10).cast("int").alias(k)
+    both = corpus.raw_buffers(lines, 8, 0).withColumnRenamed("content", "planar").join(corpus.raw_buffers(lines, 8, 2).withColumnRenamed("content", "pixelwise"), "image_id")
+    return both.select("*", F.explode(F.sequence(F.lit(0), F.octet_length("planar") - 1)).alias("place")).select("image_id", "place", byte("planar"), byte("pixelwise"))
 
 
 @query("f24_flip_and_swap", f"WITH {RGB} SELECT image_id, (max(y) OVER (PARTITION BY image_id) - y)::INT AS y, x, b AS r, g, r AS b FROM rgb")
 def f24_flip_and_swap(spark, sf_dir):
-    rows = _rgb(spark, sf_dir)
-    return rows.select("image_id", (F.max("y").over(_image()) - c("y")).cast("int").alias("y"), "x", c("b").alias("r"), "g", c("r").alias("b"))
+    return _pivot(corpus.bmp_order(rgb_lines(spark, sf_dir)))
 
 
 # Neighbourhoods, contexts, modes, runs.
@@ -264,7 +291,7 @@ def n04_mode(spark, sf_dir):
 
 
 PIXELWISE_SQL = (
-    RGB_SQL.replace("sample FROM emb", "sample >> 5 AS sample FROM emb") + TEMPLATE_SQL + _context_sql((2, 3, 4)) + """,
+    RGB_SQL.replace("sample FROM wide", "sample >> 5 AS sample FROM wide") + TEMPLATE_SQL + _context_sql((2, 3, 4)) + """,
 pm AS (SELECT *, bool_and(ctx = 0) OVER p AS calm, bool_and(sample = ra) OVER p AS same FROM ctx WINDOW p AS (PARTITION BY image_id, y, x)),
 lg AS (SELECT *, coalesce(max(CASE WHEN calm THEN x END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS g, coalesce(max(CASE WHEN NOT same THEN x END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS b
   FROM pm WINDOW w AS (PARTITION BY image_id, component, y ORDER BY x))"""
@@ -299,7 +326,7 @@ def _round_trip(name: str, sql: str, lines: Callable, bits: int, options: Option
     @query(name, f"WITH {sql} {BACK}")
     def run(spark, sf_dir):
         images = corpus.encode_lines(lines(spark, sf_dir), bits, options)
-        return pixels(corpus.decode_by_interval(images) if by_interval else corpus.decode_images(images, corpus.FAILFAST))
+        return pixels(corpus.decode_by_interval(images, corpus.FAILFAST) if by_interval else corpus.decode_images(images, corpus.FAILFAST))
 
 
 GRAY = EMB_SQL + ", img AS (SELECT * FROM emb)"
@@ -315,6 +342,7 @@ _round_trip("rt_16bit", PRICE_SQL, price_lines, 16, Options())
 _round_trip("rt_presets", GRAY, embedding_lines, 8, Options(presets=Presets(255, 9, 9, 9, 31)))
 _round_trip("rt_mixed_scans", RGB_SQL, rgb_lines, 8, Options(scans=[Scan(1), Scan(2, 0, SAMPLE)]))
 _round_trip("rt_restart", RGB_SQL, rgb_lines, 8, Options(ilv=1, restart_interval=7))
+_round_trip("e09_restart_transform", RGB_SQL, rgb_lines, 8, Options(ilv=1, transform=1, restart_interval=6), by_interval=True)
 _round_trip("e09_restart_parallel", RGB_SQL, rgb_lines, 8, Options(ilv=SAMPLE, restart_interval=8), by_interval=True)
 
 
@@ -376,9 +404,17 @@ def p08_mapping_tables(spark, sf_dir):
 
 @query("w06_table_chunks", "SELECT id, i::INT AS chunk, (CASE WHEN i = 0 THEN 2 ELSE 3 END)::INT AS kind, least(65530, id * 1000 - i * 65530)::INT AS size FROM range(1, 301) r(id), LATERAL (SELECT unnest(range((id * 1000 + 65529) // 65530)) AS i)")
 def w06_table_chunks(spark, sf_dir):
-    size = c("id") * 1000
-    rows = spark.range(1, 301).select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", size + 65529, F.lit(65530)) - 1)).alias("i"))
-    return rows.select("id", c("i").cast("int").alias("chunk"), F.when(c("i") == 0, 2).otherwise(3).alias("kind"), F.least(F.lit(65530), size - c("i") * 65530).cast("int").alias("size"))
+    """The segments that a mapping table of so many bytes is written as."""
+
+    def chunks(r):
+        data, at, out = container.mapping_table_segments(7, 1, bytes(r["id"] * 1000)), 0, []
+        while at < len(data):
+            size = int.from_bytes(data[at + 2 : at + 4], "big")
+            out.append((r["id"], len(out), data[at + 4], size - 5))
+            at += size + 2
+        return out
+
+    return _in_python(spark.range(1, 301), "id long, chunk int, kind int, size int", chunks)
 
 
 HEADER_CASES = [(i, 1 + i % 4, tables, defined) for i, (tables, defined) in enumerate([([0], []), ([5], [5]), ([5, 6], [5]), ([], [9]), ([0, 7, 7], [7, 8]), ([3], [])])]
@@ -403,7 +439,69 @@ def p20_spiff_valid(spark, sf_dir):
     return corpus.spiff_valid(g.select(c("id").alias("image_id"), spiff.alias("spiff"), frame.alias("frame"))).withColumnRenamed("image_id", "id")
 
 
-over_grid("w05_preset_decision", 600, {"bits": "id % 15 + 2", "jai": "id % 2", "own": "id % 3 div 2"}, {"written": lambda: (c("own") == 1) | ((c("jai") == 1) & (c("bits") > 12))}, {"written": "own = 1 OR (jai = 1 AND bits > 12)"})
+PRESET_CASES = {"bits": "id % 15 + 2", "jai": "id % 2", "own": "id % 3 div 2"}
+
+
+@query("w05_preset_decision", f"SELECT id, own = 1 OR (jai = 1 AND bits > 12) AS written FROM ({grid_sql(600, **PRESET_CASES)}) g")
+def w05_preset_decision(spark, sf_dir):
+    """Whether files of such options hold a segment of preset parameters."""
+
+    def written(r):
+        presets = Presets(reset=31) if r["own"] else Presets()
+        data = container.encode(np.zeros((1, 1, 1), int), r["bits"], Options(presets=presets, options=container.OPTION_PRESETS_OVER_12_BITS * r["jai"]))
+        return [(r["id"], any(marker == container.LSE and body[0] == 1 for _, marker, body in container.read_all(data)[1]))]
+
+    return _in_python(grid(spark, 600, **PRESET_CASES), "id long, written boolean", written)
+
+
+@query("p16_pad_byte", f"WITH {GRAY} {BACK}")
+def p16_pad_byte(spark, sf_dir):
+    """A zero byte before the end of the image is passed over."""
+    images = corpus.encode_lines(embedding_lines(spark, sf_dir), 8)
+    padded = images.withColumn("content", F.expr("concat(substring(content, 1, length(content) - 2), X'00FFD9')"))
+    return pixels(corpus.decode_images(padded, corpus.FAILFAST))
+
+
+@query("p02_fill_bytes", f"WITH {GRAY} {BACK}")
+def p02_fill_bytes(spark, sf_dir):
+    """Bytes 0xFF before a marker are passed over."""
+    images = corpus.encode_lines(embedding_lines(spark, sf_dir), 8)
+    filled = images.withColumn("content", F.expr("concat(X'FFD8FFFFFF', substring(content, 3, length(content) - 4), X'FFFFD9')"))
+    return pixels(corpus.decode_images(filled, corpus.FAILFAST))
+
+
+@query("p11_number_of_lines", f"WITH {GRAY} {BACK}")
+def p11_number_of_lines(spark, sf_dir):
+    """The frame leaves the height open; a DNL segment behind the scan tells it."""
+    images = corpus.encode_lines(embedding_lines(spark, sf_dir), 8)
+    height = F.expr("substring(content, 8, 2)")
+    opened = F.expr("concat(substring(content, 1, 7), X'0000', substring(content, 10, length(content) - 11))")
+    return pixels(corpus.decode_images(images.withColumn("content", F.concat(opened, F.expr("X'FFDC0004'"), height, F.expr("X'FFD9'"))), corpus.FAILFAST))
+
+
+@query("w02_spiff", f"{IMAGES_SQL} SELECT image_id, 64 AS width, (max(y) + 1)::INT AS height, true AS valid, 5 AS segments FROM img GROUP BY 1")
+def w02_spiff(spark, sf_dir):
+    """A SPIFF header with a directory entry is written, read back and agrees with its frame."""
+    images = corpus.encode_lines(embedding_lines(spark, sf_dir), 8, Options(spiff={}, spiff_entries=[(2, b"title")]))
+    headers = corpus.read_headers(images, corpus.FAILFAST)
+    counts = corpus.read_segments(images).filter("marker_name IN ('SOI', 'APP8', 'SOF55')").groupBy("image_id").agg(F.count("*").cast("int").alias("segments"))
+    found = headers.select("image_id", c("spiff.width").cast("int").alias("width"), c("spiff.height").cast("int").alias("height"))
+    return found.join(corpus.spiff_valid(headers), "image_id").join(counts, "image_id")
+
+
+@query("p09_oversize", "SELECT * FROM (VALUES (0, 65536, 1, 3, true), (1, 1, 70000, 3, true), (2, 99999, 2, 3, true)) t(id, width, height, components, equal)")
+def p09_oversize(spark, sf_dir):
+    """Sides that a frame's 16 bits cannot hold are written and read by the segment for them."""
+
+    def back(r):
+        planes = np.zeros((3, r["h"], r["w"]), int)
+        planes[:, :, ::1000] = 5
+        header, found = container.decode(container.encode(planes, 8, Options(ilv=1)))
+        return [(r["id"], header.width, header.height, len(header.components), bool((found == planes).all()))]
+
+    sides = spark.createDataFrame([(0, 65536, 1), (1, 1, 70000), (2, 99999, 2)], "id int, w int, h int")
+    return _in_python(sides, "id int, width int, height int, components int, equal boolean", back)
+
 
 
 @query("p03_malformed_files", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {k}, '{CODES[k][1]}')" for k in sorted(BAD)) + ") t(image_id, errc, error_message)")

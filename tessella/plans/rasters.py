@@ -29,11 +29,11 @@ def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three components of 21 pixels: neighbouring positions are the components of a pixel."""
+    """Three components: neighbouring positions are the components of a pixel; the last pixel is padded with zeros."""
     lines = embedding_lines(spark, sf_dir)
     part = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("component")
     lines = lines.select("image_id", part, "y", "samples")
-    return lines.withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(20)), lambda x: F.get("samples", x * 3 + F.col("component"))))
+    return lines.withColumn("samples", F.transform(F.sequence(F.lit(0), F.ceil(F.size("samples") / 3).cast("int") - 1), lambda x: F.coalesce(F.get("samples", x * 3 + F.col("component")), F.lit(0))))
 
 
 def price_lines(spark: SparkSession, sf_dir: str, width: int = 100) -> DataFrame:
@@ -59,7 +59,9 @@ emb AS (SELECT vec_id // {IMAGE_LINES} AS image_id, 0 AS component, (vec_id % {I
   least(255, greatest(0, floor((embedding[i]::DOUBLE + 1.0) * 127.5)))::INT AS sample
   FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i))"""
 RUN_SQL = EMB_SQL + ", img AS (SELECT image_id, component, y, x, sample >> 5 AS sample FROM emb)"
-RGB_SQL = EMB_SQL + ", img AS (SELECT image_id, (x % 3)::INT AS component, y, (x // 3)::INT AS x, sample FROM emb WHERE x < 63)"
+RGB_SQL = EMB_SQL + """, wide AS (SELECT image_id, y, x, sample FROM emb
+  UNION ALL SELECT image_id, y, n + i, 0 FROM (SELECT image_id, y, count(*) AS n FROM emb GROUP BY 1, 2), LATERAL (SELECT unnest(range(0, (3 - n % 3) % 3)) AS i)),
+img AS (SELECT image_id, (x % 3)::INT AS component, y, (x // 3)::INT AS x, sample FROM wide)"""
 PRICE_SQL = """
 placed AS (SELECT l_orderkey // 64 AS image_id, (round(l_extendedprice * 100)::BIGINT & 65535)::INT AS sample,
   row_number() OVER (PARTITION BY l_orderkey // 64 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS i FROM lineitem),

@@ -157,3 +157,35 @@ def test_strides(ilv):
     raw = from_planes(p, 8, ilv, stride=20)
     assert len(raw) == (20 * 12 - 15 if ilv == 0 else 20 * 4 - 5)
     assert (to_planes(raw, 5, 4, 8, 3, ilv, stride=20) == p).all()
+
+
+@pytest.mark.parametrize("near", (0, 2))
+def test_byte_of_padding_before_the_end(near):
+    r = np.random.default_rng(3)
+    for i in range(60):
+        p = r.integers(0, 256, (1, r.integers(1, 6), r.integers(1, 9)))
+        data = encode(p, 8, Options(near=near))
+        assert (decode(data[:-2] + b"\0\xff\xd9")[1] == decode(data)[1]).all(), i
+        with pytest.raises(JlsError):
+            decode(data[:-2] + b"\0\0\0\xff\xd9")
+
+
+def test_claims_of_a_header_are_bounded():
+    data = encode(np.zeros((1, 4, 4), int), 8)
+    with pytest.raises(JlsError) as e:
+        decode(data, max_bytes=15)
+    assert e.value.errc == 1 and decode(data, max_bytes=16)[1].shape == (1, 4, 4)
+
+
+def test_restart_markers_are_checked():
+    from tessella.codec.container import decode_interval, intervals
+
+    p = np.arange(3 * 6 * 5).reshape(3, 6, 5) % 256
+    data = encode(p, 8, Options(ilv=1, transform=2, restart_interval=2))
+    parts = intervals(data)
+    assert [x["y0"] for x in parts] == [0, 2, 4] and all((decode_interval(x["data"], x) == p[:, x["y0"] : x["y0"] + 2]).all() for x in parts)
+    at = data.index(b"\xff\xd0")
+    filled = data[:at] + b"\xff\xff" + data[at:]
+    assert len(intervals(filled)) == 3 and (decode(filled)[1] == p).all()
+    with pytest.raises(JlsError):
+        intervals(data[:at] + b"\xff\xd3" + data[at + 2 :])

@@ -46,7 +46,7 @@ def test_written_files_read_back(spark, tmp_path, name, options):
     back = spark.read.format(name).load(str(tmp_path))
     found = back.selectExpr("cast(regexp_extract(path, '([0-9]+)[.]', 1) as long) image_id", "component", "y", "samples")
     assert found.exceptAll(lines).isEmpty() and lines.exceptAll(found).isEmpty()
-    assert back.filter("width = 99").isEmpty() and back.filter("width = 21 and component_count >= 3").count() == lines.count()
+    assert back.filter("width = 99").isEmpty() and back.filter("width = 22 and component_count >= 3").count() == lines.count()
 
 
 def test_stream_of_files(spark, tmp_path):
