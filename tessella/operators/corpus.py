@@ -27,6 +27,15 @@ HEADERS = (
 )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over spark.sql.shuffle.partitions tasks.
+
+    Coding costs far more by byte than what adaptive execution merges
+    small partitions for; a number of partitions keeps it from doing so.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def encode_lines(lines: DataFrame, bits: int, options: Options = Options()) -> DataFrame:
     """(image_id, component, y, samples) -> (image_id, content): one file for each image."""
 
@@ -36,7 +45,7 @@ def encode_lines(lines: DataFrame, bits: int, options: Options = Options()) -> D
         planes = t.column("samples").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, len(t) // n, -1)
         return pa.table({"image_id": t.column("image_id")[:1].cast(pa.int64()), "content": pa.array([container.encode(planes, bits, options)], pa.binary())})
 
-    return lines.groupBy("image_id").applyInArrow(run, "image_id long, content binary")
+    return spread(lines, "image_id").groupBy("image_id").applyInArrow(run, "image_id long, content binary")
 
 
 def encode_raw(images: DataFrame) -> DataFrame:
@@ -67,7 +76,7 @@ def raw_buffers(lines: DataFrame, bits: int, ilv: int, stride: int = 0) -> DataF
         planes = t.column("samples").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, len(t) // n, -1)
         return pa.table({"image_id": t.column("image_id")[:1].cast(pa.int64()), "content": pa.array([container.from_planes(planes, bits, ilv, stride)], pa.binary())})
 
-    return lines.groupBy("image_id").applyInArrow(run, "image_id long, content binary")
+    return spread(lines, "image_id").groupBy("image_id").applyInArrow(run, "image_id long, content binary")
 
 
 def bmp_order(lines: DataFrame) -> DataFrame:
@@ -223,7 +232,7 @@ def decode_by_interval(images: DataFrame, mode: str = PERMISSIVE, max_bytes: int
     schema = T._parse_datatype_string("image_id long, errc int, components array<int>, y0 int, height int, width int, bits int, near int, ilv int, transform int, pc array<int>, data binary")
     arrow = to_arrow_schema(schema)
     parts = images.select(F.col("image_id").cast("long"), "content").mapInArrow(split, schema)
-    return by_mode(parts.repartition(F.col("image_id"), F.col("y0")).mapInArrow(run, DECODED), mode)
+    return by_mode(spread(parts, "image_id", "y0").mapInArrow(run, DECODED), mode)
 
 
 def compare(one: DataFrame, two: DataFrame) -> DataFrame:

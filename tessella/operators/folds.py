@@ -10,15 +10,15 @@ A group never holds more than one scan.
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.codec.scan import RUN_ORDERS, Encoder, Model, default_presets, stuff
+from tessella.operators.corpus import spread
 from tessella.operators.template import contexts, modes, neighbours, runs
 
-CODES = "image_id long, component int, y int, x int, part int, bits string"
+CODES = "image_id long, component int, y int, x int, part int, high long, bits long, length int"
 
 
 class _Fold(Encoder):
@@ -38,21 +38,31 @@ def regular_codes(rows: DataFrame, bits: int) -> DataFrame:
     """Code words of regular samples: a fold by (scan, context)."""
 
     def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("y", "ascending"), ("x", "ascending")])
+        t = _in_order(t)
         f = _Fold(bits)
-        words = []
+        regular, words, out = f.regular, f.words, []
         for q, ra, rb, rc, x in zip(*(t.column(c).to_pylist() for c in ("ctx", "ra", "rb", "rc", "sample")), strict=True):
-            f.regular(q, ra, rb, rc, x)
-            words.append(f.taken())
-        return _codes(t, words, 1)
+            regular(q, ra, rb, rc, x)
+            out.append(words.pop())
+        return _codes(t, out, 1)
+
+    rows = rows.filter("mode = 'regular'").select("image_id", "component", "y", "x", F.abs("ctx").alias("key"), "ctx", "ra", "rb", "rc", "sample")
+    return spread(rows, "image_id", "component", "key").groupBy("image_id", "component", "key").applyInArrow(fold, CODES)
+
 
-    rows = rows.filter("mode = 'regular'").withColumn("key", F.abs("ctx"))
-    return rows.groupBy("image_id", "component", "key").applyInArrow(fold, CODES)
+def _in_order(t: pa.Table) -> pa.Table:
+    return t.sort_by([("y", "ascending"), ("x", "ascending")])
 
 
 def _codes(t: pa.Table, words: list[str], part: int) -> pa.Table:
+    """Code words as numbers with their lengths; those over 63 bits (an escape of a wide sample) are cut in two."""
     n = len(words)
-    return pa.table({"image_id": t.column("image_id").cast(pa.int64()), "component": t.column("component").cast(pa.int32()), "y": t.column("y").cast(pa.int32()), "x": t.column("x").cast(pa.int32()), "part": pa.array([part] * n, pa.int32()), "bits": pa.array(words, pa.string())})
+    head = [w[:-32] if len(w) > 62 else "" for w in words]
+    value = lambda w: int(w, 2) if w else 0
+    return pa.table({
+        "image_id": t.column("image_id").cast(pa.int64()), "component": t.column("component").cast(pa.int32()), "y": t.column("y").cast(pa.int32()), "x": t.column("x").cast(pa.int32()), "part": pa.array([part] * n, pa.int32()),
+        "high": pa.array([value(h) for h in head], pa.int64()), "bits": pa.array([value(w[len(h) :]) for w, h in zip(words, head, strict=True)], pa.int64()), "length": pa.array([len(w) for w in words], pa.int32()),
+    })
 
 
 def run_codes(found: DataFrame) -> DataFrame:
@@ -100,8 +110,10 @@ def encode_lossless(lines: DataFrame, bits: int) -> DataFrame:
     coded_runs = run_codes(runs(rows))
     words = regular_codes(rows, bits).unionByName(coded_runs.drop("j", "stop")).unionByName(interruption_codes(rows, coded_runs, bits))
 
-    def pack(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["y", "x", "part"])
-        return pd.DataFrame({"image_id": [p.image_id.iloc[0]], "component": [p.component.iloc[0]], "data": [stuff("".join(p.bits))]})
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("y", "ascending"), ("x", "ascending"), ("part", "ascending")])
+        whole = zip(*(t.column(c).to_pylist() for c in ("high", "bits", "length")), strict=True)
+        text = "".join([format((high << 32) + low if length > 62 else low, f"0{length}b") if length else "" for high, low, length in whole])
+        return pa.table({"image_id": t.column("image_id")[:1], "component": t.column("component")[:1], "data": pa.array([stuff(text)], pa.binary())})
 
-    return words.groupBy("image_id", "component").applyInPandas(pack, "image_id long, component int, data binary")
+    return spread(words, "image_id", "component").groupBy("image_id", "component").applyInArrow(pack, "image_id long, component int, data binary")
