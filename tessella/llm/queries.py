@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessella.llm import base_sql
 from tessella.llm.fingerprint import op9_fingerprints
 from tessella.llm.html_text import op6_html_text
 from tessella.llm.langid import op2_language_id
@@ -27,5 +28,5 @@ QUERIES = {
         op9_fingerprints,
         op10_mixing,
     )
-}
-ORACLES = {"op1_near_duplicates": OP1_SQL, "op4_exact_topk": OP4_SQL, "op7_line_dedup": OP7_SQL}
+} | base_sql.QUERIES
+ORACLES = {"op1_near_duplicates": OP1_SQL, "op4_exact_topk": OP4_SQL, "op7_line_dedup": OP7_SQL} | base_sql.ORACLES
