@@ -33,7 +33,8 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence, Set
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -76,6 +77,7 @@ LABEL = re.compile(r"\bdata-label\s*=\s*\"?(\d)")
 SPACE = re.compile(r"\s+")
 #: A start tag that ends an open element of these names first.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+PARAGRAPH = frozenset({"p"})
 FENCES = frozenset("ul ol dl table body html article section div main aside nav td th blockquote form header footer".split())
 
 
@@ -107,8 +109,14 @@ class Forest:
     def parse(self, page: int, source: str, labelled: bool = False) -> None:
         self.blocks += 1
         stack = [(self.add(-1, "html", page), "html")]
+        opened: Counter[str] = Counter()  # open elements by name, so that a stray end tag need not look for its start
         at = 0
 
+        def cut(k: int) -> None:
+            for _, name in stack[k:]:
+                opened[name] -= 1
+            del stack[k:]
+
         def text(piece: str) -> None:
             decoded = html.unescape(piece) if "&" in piece else piece
             if decoded.strip() or (decoded and self.text[-1] is not None and self.block[-1] == self.blocks):
@@ -129,18 +137,19 @@ class Forest:
             if block:
                 self.blocks += 1
             if m["end"] or m["end2"]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] == tag:
-                        del stack[k:]
-                        break
+                if opened[tag]:
+                    k = len(stack) - 1
+                    while stack[k][1] != tag:
+                        k -= 1
+                    cut(k)
                 continue
             if tag in ("html", "body"):  # one of each; a second one adds nothing
-                if tag == "html" or any(t == "body" for _, t in stack):
+                if tag == "html" or opened["body"]:
                     continue
             if tag in CLOSES:
-                self._close(stack, CLOSES[tag])
-            elif block and any(t == "p" for _, t in stack[-8:]):
-                self._close(stack, {"p"})
+                self._close(stack, CLOSES[tag], opened, cut)
+            elif block:
+                self._close(stack, PARAGRAPH, opened, cut)
             if tag in VOID:
                 continue
             attrs = m["attrs"] or ""
@@ -154,15 +163,18 @@ class Forest:
             node = self.add(stack[-1][0], tag, page, cue, self.label[stack[-1][0]] if label < 0 else label)
             if not attrs.endswith("/"):
                 stack.append((node, tag))
+                opened[tag] += 1
         if at < len(source):
             text(source[at:])
 
     @staticmethod
-    def _close(stack: list[tuple[int, str]], names: set[str]) -> None:
+    def _close(stack: list[tuple[int, str]], names: Set[str], opened: Counter[str], cut: Callable[[int], None]) -> None:
         """Ends the nearest open element of these names, if no fence stands before it."""
+        if not any(opened[name] for name in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][1] in names:
-                del stack[k:]
+                cut(k)
                 return
             if stack[k][1] in FENCES:
                 return

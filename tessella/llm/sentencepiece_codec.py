@@ -11,6 +11,12 @@ after another character, or beside a character that no piece holds) all
 paths converge at once; texts are cut there, and the ids of the cuts are
 remembered in a bounded cache.
 
+Scores are log-probabilities.  A model of merges (BPE) has none, only
+ranks; its scores are whole numbers, minus the rank.  Frequencies of words
+and pieces fall with their rank by the law of Zipf and Mandelbrot, so that
+minus log(rank + RANK_SHIFT) stands for a piece's log-probability.
+Nothing is trained.
+
 A space is the mark U+2581 and a text begins with a dummy space, as the
 vocabulary has it.  Characters without a piece, and the mark itself in a
 text, become byte pieces, so that decoding gives the exact text back.
@@ -29,6 +35,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +44,10 @@ from pyspark.sql import types as T
 
 from tessella.llm.common import tidy
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary that queries take, by its name among the installed public tokenizers.
+VOCABULARY = "piece_bpe_32k.model"
+#: Zipf-Mandelbrot shift of a piece's rank.
+RANK_SHIFT = 100.0
 MARK = "▁"
 #: Scores this much below the worst piece's make byte pieces the last resort.
 BYTE_PENALTY = 10.0
@@ -79,9 +89,14 @@ class Vocabulary:
         return Vocabulary, (self.pieces, self.byte_ids, self.surfaces)
 
     @staticmethod
-    def load(path: str = VOCABULARY) -> Vocabulary:
+    def load(path: str | None = None) -> Vocabulary:
+        """A model file's vocabulary; without a path, that of VOCABULARY."""
         import sentencepiece
 
+        if path is None:
+            import public_tokenizers
+
+            path = public_tokenizers.path(VOCABULARY)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces, byte_ids, surfaces = {}, [0] * 256, []
         for i in range(model.get_piece_size()):
@@ -95,6 +110,8 @@ class Vocabulary:
             else:
                 pieces[piece] = i, model.get_score(i)
                 surfaces.append(piece.replace(MARK, " "))
+        if all(score <= 0 and score == int(score) for _, score in pieces.values()):
+            pieces = {p: (i, -log(RANK_SHIFT - score)) for p, (i, score) in pieces.items()}
         return Vocabulary(pieces, byte_ids, surfaces)
 
     def encode(self, text: str | None) -> list[int]:

@@ -76,3 +76,17 @@ def test_graphics_and_controls_do_not_swallow_text():
     forest = Forest()
     forest.parse(0, page("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, it is said.<noscript>fallback</noscript></p>"))
     assert {"x", "=", "1", "fallback"} <= set(forest.text)
+
+
+def test_deep_pages_take_linear_time():
+    """Stray end tags in deep trees, and a paragraph that a block far below its start ends."""
+    import time
+
+    deep = "<div>" * 6000 + "</span></i></p>" * 6000
+    began = time.process_time()
+    Forest().parse(0, deep)
+    assert time.process_time() - began < 3
+    forest = Forest()
+    forest.parse(0, "<p>" + "<b>" * 12 + "one<div>two</div>")
+    texts = {t: forest.depth[i] for i, t in enumerate(forest.text) if t}
+    assert texts["one"] == 14 and texts["two"] == 2

@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,47 @@ def test_language_id_without_labels(spark):
     model = fit(df)
     assert identify(df, model).first().lang_pred == UND
     assert identify(df.limit(0), LanguageModel.fit({"en": ["some words"]}, {})).count() == 0
+
+
+def test_ranks_become_scores_that_cut_like_the_vocabulary(vocabulary):
+    """About as many ids as merging gives, and a tie keeps the path whose last piece begins first."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    texts = [t for t in pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist() if t][:60]
+    merged = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).encode(texts, num_threads=1)
+    assert abs(sum(len(vocabulary.encode(t)) for t in texts) / sum(map(len, merged)) - 1) < 0.03
+    pieces = {p: (300 + i, s) for i, (p, s) in enumerate([(MARK, -1.0), ("a", -1.0), ("aa", -1.0)])}
+    v = Vocabulary(pieces, list(range(256)), [None] * 300 + [p.replace(MARK, " ") for p in pieces])
+    assert v.encode("aaa") == [300, 301, 302]
+
+
+def test_language_model_against_dictionaries():
+    """Interpolated Kneser-Ney probabilities from plain dictionaries of character tuples."""
+    from collections import Counter
+
+    from tessella.llm.langid import ORDER, KneserNey, chains, normalise
+
+    gap = [32] * ORDER
+    points = np.array(gap + [int(x) for t in ("the cat sat on the mat", "a hat that the bat had") for x in [*normalise(t), *gap]], np.uint32)
+    start = ORDER - 1
+    grams = {o: Counter(tuple(points[i - o + 1 : i + 1]) for i in range(start, len(points))) for o in range(1, ORDER + 1)}
+    counts = {ORDER: grams[ORDER]} | {o: Counter(g[1:] for g in grams[o + 1]) for o in range(1, ORDER)}
+
+    def probability(gram):
+        p = 1 / (len(counts[1]) + 1)
+        for o in range(1, ORDER + 1):
+            c, g = counts[o], gram[-o:]
+            once, twice = (sum(v == k for v in c.values()) for k in (1, 2))
+            d = once / (once + 2 * twice) if once else 0.5
+            same = [v for k, v in c.items() if k[:-1] == g[:-1]]
+            if same:
+                p = max(c.get(g, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * p
+        return p
+
+    model, g = KneserNey.fit(points), chains(points)
+    at = np.arange(ORDER, len(points))
+    found = model.probability([x[at] for x in g], [x[at - 1] for x in g])
+    wanted = [probability(tuple(points[i - ORDER + 1 : i + 1])) for i in at]
+    assert np.allclose(found, wanted)
