@@ -167,3 +167,67 @@ def test_sketches_merge_and_estimate(spark):
     assert r.similar == pytest.approx(1496 / 3496, abs=0.12) and r.held == pytest.approx(0.75, abs=0.15)
     assert r.many == pytest.approx(2996, rel=0.2) and r.whole == pytest.approx(3496, rel=0.2)
     assert r.zero == 0 and r["empty"] == 1 and r.short == 1 and len(r.hexed) == 16
+
+
+@pytest.mark.parametrize("kind", ("dense", "sparse", "hot", "nulls"))
+def test_next_documents_whatever_the_ids(spark, monkeypatch, kind):
+    """Small buckets: every document meets its next one; likeness is that of the shingle sets, within a sketch's error."""
+    import random
+
+    import tessella.llm.fingerprint as module
+
+    monkeypatch.setattr(module, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(module, "MOST_RANGES", 16)
+    r = random.Random(1)
+    n = 300
+    ids = {"dense": range(n), "sparse": r.sample(range(-(2**61), 2**61), n), "hot": [5] * 100 + list(range(6, 6 + 200)), "nulls": [None] * 100 + [r.randrange(10**9) for _ in range(200)]}[kind]
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, f"{j} " + " ".join(words[r.randrange(150) :][: r.randrange(60)])) for j, i in enumerate(ids)]
+    out = edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, (x.doc_id for x in out))) == sorted(map(repr, ids))
+    loose = [(i, t) for i, t in rows if i is None or ids.count(i) > 1] if kind in ("hot", "nulls") else []
+    order = sorted(x for x in rows if x not in loose)
+    halves = lambda a, b: hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()
+    got = {x.doc_id: x for x in out if x.doc_id is not None}
+    for (i, text), (_, after) in zip(order, order[1:], strict=False):
+        assert got[i].edited_sha256 == halves(text, after)
+        a, b = brute_fingerprint_sets(text), brute_fingerprint_sets(after)
+        assert abs(got[i].near_next - (len(a & b) / len(a | b) if a | b else 1)) < 0.25
+    if not loose:
+        assert got[order[-1][0]].edited_sha256 == halves(order[-1][1], order[0][1])
+
+
+def test_fingerprints_of_few_documents(spark):
+    one = edited_fingerprints(spark.createDataFrame([(7, "a b c d e f g")], "doc_id long, text string")).first()
+    assert one.near_next == 1 and one.fingerprint and one.edited_sha256 == hashlib.sha256(b"a b c da b c ").hexdigest()
+    assert edited_fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    same = edited_fingerprints(spark.createDataFrame([(1, "x y z"), (9, "x y z"), (None, "x y z")], "doc_id long, text string")).collect()
+    assert len({tuple(r.fingerprint) for r in same}) == 1 and all(r.near_next == 1 for r in same)
+    with pytest.raises(TypeError):
+        edited_fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_parts_merge_to_the_whole(spark):
+    from tessella.llm.fingerprint import merge_parts
+
+    text = " ".join(f"w{i % 700}" for i in range(1000))
+    words = text.split()
+    parts = [(1, " ".join(words[i : i + 104])) for i in range(0, 1000, 100)] + [(2, "a b")]
+    df = spark.createDataFrame(parts, "k int, t string").select("k", fingerprint(F.col("t")).alias("fingerprint"))
+    got = {r.k: r.fingerprint for r in merge_parts(df, ["k"]).collect()}
+    whole = spark.createDataFrame([(1, text), (2, "a b")], "k int, t string").select("k", fingerprint(F.col("t")).alias("f"))
+    assert got == {r.k: r.f for r in whole.collect()}
+
+
+def test_very_many_spans_in_one_text(spark):
+    import time
+
+    text = " ".join(f"é{i} u{i}@h{i}.example.org" for i in range(40_000))
+    rows = [(1, text), (1, "to a@b.org"), (None, "to a@b.org"), (None, None)]
+    began = time.time()
+    out = find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_email", "text", F.try_element_at("spans", F.lit(-1)).alias("last")).collect()
+    assert time.time() - began < 120
+    long = next(r for r in out if r.n_email > 1)
+    assert long.n_email == 40_000 and long.last.e == len(text)
+    assert long.text == " ".join(f"é{i} [email]" for i in range(40_000))
+    assert sorted((repr(r.doc_id), r.text) for r in out if r.n_email < 2) == [("1", "to [email]"), ("None", ""), ("None", "to [email]")]
