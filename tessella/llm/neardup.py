@@ -18,8 +18,8 @@ connected components.
    Candidates have to agree in size and in a 64-column sketch, within six
    standard deviations of the threshold.  First every node confirms its
    few nearest neighbours, and components follow; then candidates between
-   different components are confirmed, a few best for each pair of
-   components, then all that still join two components.
+   different components are confirmed in rounds, the few best of every
+   component, then more, then all that still join two components.
 4. The rest of the denser regions is settled exactly.  Regions whose nodes
    all belong to one component are closed.  In an open one the nodes
    outside its largest component (outsiders) meet the sketches of all
@@ -67,8 +67,10 @@ SKETCH = 64
 WINDOW = 64
 #: Nodes on each side of a task that settles a part of an open region, and those compared at once.
 BLOCK, SLICE = 4096, 256
-#: Neighbours that a node confirms in the first pass; candidates confirmed first for each pair of components.
+#: Neighbours that a node confirms in the first pass; candidates that a task first names for each pair of components of an open region.
 FIRST, BEST = 3, 4
+#: Candidates that a component confirms in each round.
+ROUNDS = (2, 8, 64, None)
 BROADCAST_KEYS, BROADCAST_IDS = 50_000, 500_000
 
 _random = np.random.default_rng(20260101)
@@ -403,16 +405,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 
 def _join_components(pairs: DataFrame, texts: DataFrame, edges: DataFrame, labels: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirms candidates between components: the BEST for each pair of components first, then all that are left."""
-    for best in (BEST, None):
+    """Confirms candidates between components, in rounds: every component tries its few best, components are joined, and so on with more; at last all that are left."""
+    for best in ROUNDS:
         open_pairs = _across(pairs, labels)
         if best:
-            rank = F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("same"), F.xxhash64("a", "b")))
-            open_pairs = open_pairs.withColumn("r", rank).filter(F.col("r") <= best)
+            ends = open_pairs.select(F.explode(F.array("ca", "cb")).alias("x"), "a", "b", "same")
+            rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("same"), F.xxhash64("a", "b")))
+            open_pairs = ends.withColumn("r", rank).filter(F.col("r") <= best).select("a", "b").distinct()
         open_pairs = materialize(open_pairs.select("a", "b"), "open-pairs")
         if open_pairs.isEmpty():
             break
         more = materialize(_confirm(open_pairs, texts, shingle, percent), "links")
+        if best:
+            pairs = pairs.join(open_pairs, ["a", "b"], "left_anti")
         if more.isEmpty():
             continue
         edges = edges.unionByName(more)
