@@ -21,12 +21,11 @@ connected components.
    different components are confirmed in rounds, the few best of every
    component, then more, then all that still join two components.
 4. The rest of the denser regions is settled exactly.  Regions whose nodes
-   all belong to one component are closed.  In an open one the nodes
-   outside its largest component (outsiders) meet the sketches of all
-   others, in tasks of at most about BLOCK nodes on each side; a few best
-   pairs of every two components are confirmed first, then what is left.
-   Only rows of 64 bytes are dealt to several tasks, and only those of
-   open regions.
+   all belong to one component are closed.  Nodes that share an open one
+   are gathered into clusters, cut by set size and hash into blocks of
+   about BLOCK nodes, and pairs of blocks that can hold links compare
+   their full sets in one task each, which returns a spanning forest.
+   This alone grows with the square of a region.
 5. Links are always confirmed on full shingle sets, fetched only for the
    nodes that need them.
 
@@ -65,12 +64,12 @@ COLUMNS = TREES * DEPTH
 DEEPER = 8
 SKETCH = 64
 WINDOW = 64
-#: Nodes on each side of a task that settles a part of an open region, and those compared at once.
-BLOCK, SLICE = 4096, 256
-#: Neighbours that a node confirms in the first pass; candidates that a task first names for each pair of components of an open region.
-FIRST, BEST = 3, 4
+#: Nodes of a block of an open region.
+BLOCK = 256
+#: Neighbours that a node confirms in the first pass.
+FIRST = 3
 #: Candidates that a component confirms in each round.
-ROUNDS = (2, 8, 64, None)
+ROUNDS = (2, 8)
 BROADCAST_KEYS, BROADCAST_IDS = 50_000, 500_000
 
 _random = np.random.default_rng(20260101)
@@ -297,51 +296,72 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def _cross_pairs(table: pa.Table, best: int | None, percent: int) -> pa.Table:
-    """Candidates between outsiders (side 1) and members (side 0) of different components; at most `best` for two components, if given."""
-    side = table.column("side").to_numpy()
-    rows = {c: table.column(c).to_numpy() for c in FOREST if c != "key"}
-    members, outsiders = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-    found = []
-    for at in range(0, len(outsiders), SLICE):
-        one = outsiders[at : at + SLICE]
-        n, m = rows["n"][one][:, None], rows["n"][members]
-        ok = (rows["component"][one][:, None] != rows["component"][members]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-        i, j = (x[y] for x, y in zip((one, members), np.nonzero(ok), strict=True))
-        same = _agreement(rows, i, j)
-        ok = same >= least_agreement(percent)
-        found.append((i[ok], j[ok], same[ok]))
-    i, j, same = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    ci, cj = rows["component"][i], rows["component"][j]
-    low, high = np.minimum(ci, cj), np.maximum(ci, cj)
-    if best is not None and len(i):
-        order = np.lexsort((-same, high, low))
-        i, j, same, low, high = (x[order] for x in (i, j, same, low, high))
-        first = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-        place = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
-        i, j, same = (x[place < best] for x in (i, j, same))
-    a, b = np.minimum(rows["node"][i], rows["node"][j]), np.maximum(rows["node"][i], rows["node"][j])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "same": pa.array(same, pa.int32())})
-
-
-def _open_pairs(members: DataFrame, labels: DataFrame, best: int | None, percent: int) -> DataFrame | None:
-    """Candidates between components inside the large regions, whose rows are members (key, node, n, sketch); None if every region is closed."""
-    rows = materialize(members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
-    counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-    regions = counts.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("hub")).filter(F.col("size") > F.col("hub.n"))
-    units = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    regions = materialize(regions.select("key", F.col("hub.component").alias("hub"), units(F.col("size")).alias("blocks"), units(F.col("size") - F.col("hub.n")).alias("groups")), "open-regions")
-    n_open = regions.count()
-    if not n_open:
-        return None
-    rows = rows.join(broadcast_if(regions, n_open, BROADCAST_KEYS), "key")
-    deal = lambda count, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    sketch = ["key", "node", "n", "component", "s0", "s1", "s2", "s3"]
-    inside = rows.select(*sketch, F.lit(0).alias("side"), deal("blocks", 1).alias("block"), every("groups").alias("group"))
-    outside = rows.filter("component <> hub").select(*sketch, F.lit(1).alias("side"), every("blocks").alias("block"), deal("groups", 2).alias("group"))
-    met = inside.unionByName(outside).groupBy("key", "block", "group")
-    return met.applyInArrow(lambda t: _cross_pairs(t, best, percent), "a long, b long, same int")
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
+    """A spanning forest of the links between the sides of a pair of blocks, from full sets."""
+    ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+    sets = [np.asarray(v.values) for v in table.column("s")]
+    sizes = np.array([len(v) for v in sets])
+    values, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    often = count[column] > 1
+    column, rows = number[column[often]], rows[often]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, rows = column[order], rows[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        low, high = np.searchsorted(column, (at, at + 2048))
+        held = np.zeros((len(sets), 2048), np.float32)
+        held[rows[low:high], column[low:high] - at] = 1
+        shared += held @ held.T
+    linked = (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) & ((side[:, None] != side[None, :]) | (side.max() == 0))
+    fresh, pairs = np.ones(len(sets), bool), []
+    for seed in range(len(sets)):
+        if not fresh[seed]:
+            continue
+        fresh[seed] = False
+        waiting = [seed]
+        while waiting:
+            at = waiting.pop()
+            for other in np.nonzero(linked[at] & fresh)[0]:
+                fresh[other] = False
+                waiting.append(other)
+                pairs.append((at, other))
+    one, two = (ids[[p[i] for p in pairs]] if pairs else ids[:0] for i in (0, 1))
+    return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
+
+
+def _open_region_links(nodes: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links among nodes that share an open region, and those nodes' clusters (node, cluster).  members: (key, node)."""
+    hubs = members.groupBy("key").agg(F.min("node").alias("a"))
+    clusters = connected_components(members.join(hubs, "key").select("a", F.col("node").alias("b")))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    placed = nodes.select("node", "n").join(clusters, "node").select("node", F.col("component").alias("cluster"), band.alias("band"))
+    placed = materialize(placed, "clusters")
+    units = placed.groupBy("cluster", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("units"))
+    units = materialize(units.select("*", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit")), "units")
+    mine = placed.join(units.select("cluster", "band", "units").distinct(), ["cluster", "band"])
+    mine = mine.select("node", "cluster", "band", F.pmod(F.xxhash64("node"), F.col("units")).cast("int").alias("unit"))
+    # Every unit meets the units of its own band and of the next one, each pair of units once.
+    left = units.select("cluster", "band", "unit")
+    right = units.select("cluster", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("band2"), F.col("unit").alias("unit2"))
+    meetings = left.join(right, ["cluster", "band"]).filter((F.col("band2") > F.col("band")) | (F.col("unit2") >= F.col("unit")))
+    meetings = materialize(meetings.withColumn("meeting", F.monotonically_increasing_id()), "meetings")
+    first = mine.join(meetings, ["cluster", "band", "unit"]).select("meeting", F.lit(0).alias("side"), F.col("node").alias("id"))
+    apart = meetings.filter((F.col("band") != F.col("band2")) | (F.col("unit") != F.col("unit2")))
+    apart = apart.select("meeting", "cluster", F.col("band2").alias("band"), F.col("unit2").alias("unit"))
+    second = mine.join(apart, ["cluster", "band", "unit"]).select("meeting", F.lit(1).alias("side"), F.col("node").alias("id"))
+    sets = _sets(docs, placed.select(F.col("node").alias("id")), width)
+    dealt = first.unionByName(second).join(sets, "id")
+    return dealt.groupBy("meeting").applyInArrow(lambda t: _block_links(t, percent), "a long, b long"), placed.select("node", "cluster")
+
+
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (key, node) of regions that hold more than one component."""
+    rows = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sides = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    keys = materialize(sides.filter("lo <> hi").select("key"), "open-regions")
+    return materialize(members.join(broadcast_if(keys, keys.count(), BROADCAST_KEYS), "key", "left_semi"), "open-members")
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -386,16 +406,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     found = _scan(_forest(labelled, partitions), WINDOW, True, percent)
     pairs = found.filter(F.col("kind") == PAIR).select("a", "b", "same").distinct().join(first, ["a", "b"], "left_anti")
-    edges, labels = _join_components(materialize(pairs, "cross-pairs"), texts, edges, labels, shingle, percent)
+    pairs = materialize(pairs, "cross-pairs")
+    edges, labels = _join_components(pairs, texts, edges, labels, shingle, percent, ROUNDS)
 
-    # What the window leaves of large regions.
+    # What that leaves of large regions is settled in blocks; all other candidates are confirmed one by one.
     if n_large:
-        members = materialize(orders.join(broadcast_if(large, n_large, BROADCAST_KEYS), "key", "left_semi"), "large-members")
-        for best in (BEST, None):
-            rest = _open_pairs(members, labels, best, percent)
-            if rest is None:
-                break
-            edges, labels = _join_components(materialize(rest.distinct(), "open-region-pairs"), texts, edges, labels, shingle, percent)
+        members = materialize(orders.join(broadcast_if(large, n_large, BROADCAST_KEYS), "key", "left_semi").select("key", "node"), "large-members")
+        left = _open_members(members, labels)
+        if not left.isEmpty():
+            more, clusters = _open_region_links(nodes, left, texts, shingle, percent)
+            edges = materialize(edges.unionByName(more), "links")
+            labels = connected_components(edges)
+            for c in "ab":
+                pairs = pairs.join(clusters.select(F.col("node").alias(c), F.col("cluster").alias(f"k{c}")), c, "left")
+            pairs = pairs.filter("ka IS NULL OR kb IS NULL OR ka <> kb").drop("ka", "kb")
+    edges, labels = _join_components(pairs, texts, edges, labels, shingle, percent, (None,))
 
     # Components by their smallest id, for every row.
     reps = materialize(reps.join(labels, "node", "left").select("ka", "kb", F.coalesce("component", "node").alias("component_id")), "groups")
@@ -404,9 +429,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _join_components(pairs: DataFrame, texts: DataFrame, edges: DataFrame, labels: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirms candidates between components, in rounds: every component tries its few best, components are joined, and so on with more; at last all that are left."""
-    for best in ROUNDS:
+def _join_components(pairs: DataFrame, texts: DataFrame, edges: DataFrame, labels: DataFrame, shingle: int, percent: int, rounds: tuple[int | None, ...]) -> tuple[DataFrame, DataFrame]:
+    """Confirms candidates between components, in rounds: every component tries its few best (all, if None), components are joined, and so on."""
+    for best in rounds:
         open_pairs = _across(pairs, labels)
         if best:
             ends = open_pairs.select(F.explode(F.array("ca", "cb")).alias("x"), "a", "b", "same")
