@@ -16,6 +16,17 @@ from pyspark.sql import functions as F
 from tessella.llm.common import materialize
 
 
+def grow_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, component) with further edges (a, b): as connected_components over all edges, but only components and new edges are contracted."""
+    ends = [labels.select(F.col("node").alias(c), F.col("component").alias(f"to_{c}")) for c in ("a", "b")]
+    moved = edges.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    joined = connected_components(moved.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")))
+    follow = joined.select(F.col("node").alias("component"), F.col("component").alias("reached"))
+    kept = labels.join(follow, "component", "left").select("node", F.coalesce("reached", "component").alias("component"))
+    fresh = joined.join(labels, "node", "left_anti").select("node", "component")  # components are nodes with a label of their own
+    return materialize(kept.unionByName(fresh), "labels")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, component): the smallest node that each node reaches; nodes without edges have no row."""
     links = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.common import broadcast_if, materialize, tidy
-from tessella.llm.components import connected_components
+from tessella.llm.components import connected_components, grow_components
 
 TREES, DEPTH = 32, 4
 COLUMNS = TREES * DEPTH
@@ -407,7 +407,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     found = _scan(_forest(labelled, partitions), WINDOW, True, percent)
     pairs = found.filter(F.col("kind") == PAIR).select("a", "b", "same").distinct().join(first, ["a", "b"], "left_anti")
     pairs = materialize(pairs, "cross-pairs")
-    edges, labels = _join_components(pairs, texts, edges, labels, shingle, percent, ROUNDS)
+    labels = _join_components(pairs, texts, labels, shingle, percent, ROUNDS)
 
     # What that leaves of large regions is settled in blocks; all other candidates are confirmed one by one.
     if n_large:
@@ -415,12 +415,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         left = _open_members(members, labels)
         if not left.isEmpty():
             more, clusters = _open_region_links(nodes, left, texts, shingle, percent)
-            edges = materialize(edges.unionByName(more), "links")
-            labels = connected_components(edges)
+            labels = grow_components(labels, more)
             for c in "ab":
                 pairs = pairs.join(clusters.select(F.col("node").alias(c), F.col("cluster").alias(f"k{c}")), c, "left")
             pairs = pairs.filter("ka IS NULL OR kb IS NULL OR ka <> kb").drop("ka", "kb")
-    edges, labels = _join_components(pairs, texts, edges, labels, shingle, percent, (None,))
+    labels = _join_components(pairs, texts, labels, shingle, percent, (None,))
 
     # Components by their smallest id, for every row.
     reps = materialize(reps.join(labels, "node", "left").select("ka", "kb", F.coalesce("component", "node").alias("component_id")), "groups")
@@ -429,7 +428,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _join_components(pairs: DataFrame, texts: DataFrame, edges: DataFrame, labels: DataFrame, shingle: int, percent: int, rounds: tuple[int | None, ...]) -> tuple[DataFrame, DataFrame]:
+def _join_components(pairs: DataFrame, texts: DataFrame, labels: DataFrame, shingle: int, percent: int, rounds: tuple[int | None, ...]) -> DataFrame:
     """Confirms candidates between components, in rounds: every component tries its few best (all, if None), components are joined, and so on."""
     for best in rounds:
         open_pairs = _across(pairs, labels)
@@ -445,9 +444,8 @@ def _join_components(pairs: DataFrame, texts: DataFrame, edges: DataFrame, label
             pairs = pairs.join(open_pairs, ["a", "b"], "left_anti")
         if more.isEmpty():
             continue
-        edges = edges.unionByName(more)
-        labels = connected_components(edges)
-    return edges, labels
+        labels = grow_components(labels, more)
+    return labels
 
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 import tessella.llm.neardup as neardup
-from tessella.llm.components import connected_components
+from tessella.llm.components import connected_components, grow_components
 from tessella.llm.neardup import near_duplicates
 
 SF = "/root/testdata/sf0.001"
@@ -83,6 +84,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_grow_as_if_made_anew(spark):
+    rng = np.random.default_rng(3)
+    pairs = [tuple(int(x) for x in rng.integers(0, 300, 2)) for _ in range(220)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    for cut in (0, 60, 150, 220):
+        grown = grow_components(connected_components(frame(pairs[:cut])), frame(pairs[cut:]))
+        assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, connected_components(frame(pairs)).collect())), cut
+
+
 def test_scan_reads_on_over_short_and_empty_partitions(spark):
     """A region of five rows, in six partitions of one row or none, gives all its pairs within reach."""
     from pyspark.sql import functions as F
