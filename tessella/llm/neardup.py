@@ -11,10 +11,10 @@ connected components.
    the first DEPTH columns of its order; inside it nodes are sorted by
    the following columns, so that the nearest rows are those with the
    longest common prefix.
-3. Depth adapts to density.  A row's candidates are the WINDOW rows that
-   follow it in its region, and so those with the longest common
-   prefixes: in a region of at most WINDOW nodes everyone meets, in a
-   denser one the nodes that share a prefix long enough to hold no more.
+3. Depth adapts to density.  In a region of at most WINDOW nodes everyone
+   meets.  In a denser one a row's candidates are the DENSE_WINDOW rows
+   that follow it, and so those with the longest common prefixes, long
+   enough to hold no more; step 4 settles the rest of it exactly.
    Candidates have to agree in size and in a 64-column sketch, within six
    standard deviations of the threshold.  First every node confirms its
    few nearest neighbours, and components follow; then candidates between
@@ -64,6 +64,8 @@ COLUMNS = TREES * DEPTH
 DEEPER = 8
 SKETCH = 64
 WINDOW = 64
+#: Following rows that a row of a region of more than WINDOW nodes meets.
+DENSE_WINDOW = 4
 #: Nodes of a block of an open region.
 BLOCK = 256
 #: Neighbours that a node confirms in the first pass.
@@ -152,14 +154,15 @@ def _orders(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "component", "sig").mapInArrow(tidy(run), "key long, p1 long, p2 long, node long, n long, component long, s0 long, s1 long, s2 long, s3 long")
 
 
-def _forest(nodes: DataFrame, partitions: int) -> DataFrame:
-    """The orders, sorted by range."""
+def _forest(nodes: DataFrame, large: DataFrame, n_large: int, partitions: int) -> DataFrame:
+    """The orders, sorted by range; dense is 1 for rows of large regions, else 0."""
     order = ["key", "p1", "p2", "node"]
-    return _orders(nodes).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    marked = _orders(nodes).join(broadcast_if(large.withColumn("dense", F.lit(1).cast("long")), n_large, BROADCAST_KEYS), "key", "left")
+    return marked.withColumn("dense", F.coalesce("dense", F.lit(0).cast("long"))).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
-FOREST = ["key", "node", "n", "component", "s0", "s1", "s2", "s3"]
-OUT = "kind int, key long, a long, b long, ca long, cb long, same int, at int, side int, place int, n long, component long, s0 long, s1 long, s2 long, s3 long"
+FOREST = ["key", "dense", "node", "n", "component", "s0", "s1", "s2", "s3"]
+OUT = "kind int, key long, dense long, a long, b long, ca long, cb long, same int, at int, side int, place int, n long, component long, s0 long, s1 long, s2 long, s3 long"
 PAIR, HALO = 0, 1
 
 
@@ -181,13 +184,15 @@ def least_agreement(percent: int) -> int:
 
 
 def _pairs(rows: dict[str, np.ndarray], fresh: int, reach: int, across: bool, percent: int) -> dict[str, np.ndarray]:
-    """Candidates among sorted rows, within `reach` places, whose later row is at or after position `fresh`."""
+    """Candidates among sorted rows, within `reach` places (DENSE_WINDOW in large regions), whose later row is at or after position `fresh`."""
     key, n, node, component = rows["key"], rows["n"], rows["node"], rows["component"]
     found = []
     left = np.arange(len(key))
     for d in range(1, reach + 1):
         left = left[left + d < len(key)]
         left = left[key[left] == key[left + d]]
+        if d > DENSE_WINDOW:
+            left = left[rows["dense"][left] == 0]
         if not len(left):
             break
         i = left[left + d >= fresh]
@@ -212,7 +217,9 @@ def _batch(kind: int, columns: dict[str, np.ndarray], size: int) -> pa.RecordBat
 
 
 def _scan(forest: DataFrame, reach: int, across: bool, percent: int) -> DataFrame:
-    """Candidates of the sorted forest, also across the ends of its partitions."""
+    """Candidates of the sorted forest, also across the ends of its partitions; without a column dense all its regions are small."""
+    if "dense" not in forest.columns:
+        forest = forest.withColumn("dense", F.lit(0).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -395,7 +402,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     n_large = large.count()
 
     # First pass: nearest neighbours, a few best for each node.
-    near = _scan(_forest(nodes.withColumn("component", F.col("node")), partitions), 1, False, percent).filter(F.col("kind") == PAIR).select("a", "b", "same").distinct()
+    near = _scan(_forest(nodes.withColumn("component", F.col("node")), large, n_large, partitions), 1, False, percent).filter(F.col("kind") == PAIR).select("a", "b", "same").distinct()
     sides = near.select(F.explode(F.array(F.struct(F.col("a").alias("x")), F.struct(F.col("b").alias("x")))).alias("e"), "a", "b", "same").select("e.x", "a", "b", "same")
     rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("same"), F.xxhash64("a", "b")))
     first = materialize(sides.withColumn("r", rank).filter(F.col("r") <= FIRST).select("a", "b").distinct(), "first-pairs")
@@ -404,7 +411,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     # Second pass: all neighbours in the window that would join two components.
     labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    found = _scan(_forest(labelled, partitions), WINDOW, True, percent)
+    found = _scan(_forest(labelled, large, n_large, partitions), WINDOW, True, percent)
     pairs = found.filter(F.col("kind") == PAIR).select("a", "b", "same").distinct().join(first, ["a", "b"], "left_anti")
     pairs = materialize(pairs, "cross-pairs")
     labels = _join_components(pairs, texts, labels, shingle, percent, ROUNDS)
