@@ -206,7 +206,7 @@ def _pairs(rows: dict[str, np.ndarray], fresh: int, reach: int, across: bool, pe
         found.append((i[ok], j[ok], same[ok]))
     i, j, same = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
     low = node[i] < node[j]
-    return {"a": np.where(low, node[i], node[j]), "b": np.where(low, node[j], node[i]), "ca": np.where(low, component[i], component[j]), "cb": np.where(low, component[j], component[i]), "same": same.astype(np.int32)}
+    return {"a": np.where(low, node[i], node[j]), "b": np.where(low, node[j], node[i]), "ca": np.where(low, component[i], component[j]), "cb": np.where(low, component[j], component[i]), "same": same.astype(np.int32), "dense": rows["dense"][i]}
 
 
 def _batch(kind: int, columns: dict[str, np.ndarray], size: int) -> pa.RecordBatch:
@@ -338,8 +338,8 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
 
 
-def _open_region_links(nodes: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links among nodes that share an open region, and those nodes' clusters (node, cluster).  members: (key, node)."""
+def _open_region_links(nodes: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among nodes that share an open region.  members: (key, node)."""
     hubs = members.groupBy("key").agg(F.min("node").alias("a"))
     clusters = connected_components(members.join(hubs, "key").select("a", F.col("node").alias("b")))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
@@ -360,7 +360,7 @@ def _open_region_links(nodes: DataFrame, members: DataFrame, docs: DataFrame, wi
     second = mine.join(apart, ["cluster", "band", "unit"]).select("meeting", F.lit(1).alias("side"), F.col("node").alias("id"))
     sets = _sets(docs, placed.select(F.col("node").alias("id")), width)
     dealt = first.unionByName(second).join(sets, "id")
-    return dealt.groupBy("meeting").applyInArrow(lambda t: _block_links(t, percent), "a long, b long"), placed.select("node", "cluster")
+    return dealt.groupBy("meeting").applyInArrow(lambda t: _block_links(t, percent), "a long, b long")
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -412,21 +412,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # Second pass: all neighbours in the window that would join two components.
     labelled = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     found = _scan(_forest(labelled, large, n_large, partitions), WINDOW, True, percent)
-    pairs = found.filter(F.col("kind") == PAIR).select("a", "b", "same").distinct().join(first, ["a", "b"], "left_anti")
-    pairs = materialize(pairs, "cross-pairs")
-    labels = _join_components(pairs, texts, labels, shingle, percent, ROUNDS)
+    pairs = found.filter(F.col("kind") == PAIR).groupBy("a", "b", "same", "ca", "cb").agg(F.max("dense").alias("dense"))
+    pairs = materialize(pairs.join(first, ["a", "b"], "left_anti"), "cross-pairs")
+    labels, pairs = _join_components(pairs, texts, labels, shingle, percent, ROUNDS)
 
     # What that leaves of large regions is settled in blocks; all other candidates are confirmed one by one.
     if n_large:
         members = materialize(orders.join(broadcast_if(large, n_large, BROADCAST_KEYS), "key", "left_semi").select("key", "node"), "large-members")
         left = _open_members(members, labels)
         if not left.isEmpty():
-            more, clusters = _open_region_links(nodes, left, texts, shingle, percent)
-            labels = grow_components(labels, more)
-            for c in "ab":
-                pairs = pairs.join(clusters.select(F.col("node").alias(c), F.col("cluster").alias(f"k{c}")), c, "left")
-            pairs = pairs.filter("ka IS NULL OR kb IS NULL OR ka <> kb").drop("ka", "kb")
-    labels = _join_components(pairs, texts, labels, shingle, percent, (None,))
+            labels = grow_components(labels, _open_region_links(nodes, left, texts, shingle, percent))
+            pairs = _across(pairs.filter("dense = 0"), labels)  # a pair of a large region is settled there
+    labels, _ = _join_components(pairs, texts, labels, shingle, percent, (None,))
 
     # Components by their smallest id, for every row.
     reps = materialize(reps.join(labels, "node", "left").select("ka", "kb", F.coalesce("component", "node").alias("component_id")), "groups")
@@ -435,24 +432,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _join_components(pairs: DataFrame, texts: DataFrame, labels: DataFrame, shingle: int, percent: int, rounds: tuple[int | None, ...]) -> DataFrame:
-    """Confirms candidates between components, in rounds: every component tries its few best (all, if None), components are joined, and so on."""
+def _join_components(pairs: DataFrame, texts: DataFrame, labels: DataFrame, shingle: int, percent: int, rounds: tuple[int | None, ...]) -> tuple[DataFrame, DataFrame]:
+    """Confirms candidates between components, in rounds: every component tries its few best (all, if None), components are joined, and so on.
+
+    pairs: a, b, same and the components ca, cb that labels gives a and b.  Returns the new labels and the pairs left between components.
+    """
     for best in rounds:
-        open_pairs = _across(pairs, labels)
+        tried = pairs
         if best:
-            ends = open_pairs.select(F.explode(F.array("ca", "cb")).alias("x"), "a", "b", "same")
+            ends = pairs.select(F.explode(F.array("ca", "cb")).alias("x"), "a", "b", "same")
             rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("same"), F.xxhash64("a", "b")))
-            open_pairs = ends.withColumn("r", rank).filter(F.col("r") <= best).select("a", "b").distinct()
-        open_pairs = materialize(open_pairs.select("a", "b"), "open-pairs")
-        if open_pairs.isEmpty():
+            tried = ends.withColumn("r", rank).filter(F.col("r") <= best).select("a", "b").distinct()
+        tried = materialize(tried.select("a", "b"), "open-pairs")
+        if tried.isEmpty():
             break
-        more = materialize(_confirm(open_pairs, texts, shingle, percent), "links")
+        more = materialize(_confirm(tried, texts, shingle, percent), "links")
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        if not more.isEmpty():
+            labels = grow_components(labels, more)
+            pairs = _across(pairs, labels)
         if best:
-            pairs = pairs.join(open_pairs, ["a", "b"], "left_anti")
-        if more.isEmpty():
-            continue
-        labels = grow_components(labels, more)
-    return labels
+            pairs = materialize(pairs, "cross-pairs")
+    return labels, pairs
 
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:
