@@ -6,11 +6,12 @@ strongly a term reveals a protected entity, which is a kind or one value
 of it: with IC(e) = log2(N / n(e)) and PMI(term, e) = log2(N n(term, e) /
 (n(term) n(e))), counted over all documents, the disclosure of a term is
 the most of PMI / IC over the entities, 1 when the term never occurs
-without one.  In documents that hold entities, terms at or over
-`remove_at` are removed from the sanitised text, and terms at or over
-`generalise_at` are generalised to a placeholder.  A term needs
-`min_support` different texts with the entity, so that copies of one
-document do not make evidence.  Documents without entities are left alone.
+without one.  Terms at or over `remove_at` are removed from the sanitised
+text, and terms at or over `generalise_at` are generalised to a
+placeholder: with `everywhere` in every document that holds them, else
+only in documents that hold an entity.  A term needs `min_support`
+different texts with the entity, so that copies of one document do not
+make evidence.
 
 Positions come from splitting a text at the pattern and summing the
 lengths of pieces and matches.  Patterns use possessive repeats and start
@@ -19,7 +20,9 @@ runs take linear time; the matches are those of the plain patterns.
 
 Plan: candidate terms are gathered from entity documents only, then
 counted over all documents by a join with the candidates, which is
-broadcast only while its counted size is small.
+broadcast only while its counted size is small.  A document's terms are
+found again by a hash of its id and text: texts are shuffled once for
+that and not stored.
 
 Edge cases: null text is empty; null and repeated ids keep their own
 rows; an empty table gives an empty result; other columns are ignored
@@ -33,7 +36,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import broadcast_if, materialize
+from tessella.llm.common import broadcast_if, hash128, materialize
 from tessella.llm.fingerprint import let
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -142,20 +145,23 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, min_support: int, genera
     return rated.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= generalise_at)
 
 
-def find_pii(docs: DataFrame, min_support: int = 5, generalise_at: float = 0.8, remove_at: float = 0.95, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """Returns id, `carry`, n_email .. n_phone, base (spans), spans (base and term spans) and sanitised text under text_col."""
+def find_pii(docs: DataFrame, min_support: int = 5, generalise_at: float = 0.8, remove_at: float = 0.95, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), everywhere: bool = False) -> DataFrame:
+    """Returns id, `carry`, n_email .. n_phone, base (spans), spans (base and term spans) and sanitised text under text_col.
+
+    everywhere: terms are marked in every document, not only in those that hold an entity.
+    """
     extra = [F.col(f"`{c}`").alias(f"__carry{i}") for i, c in enumerate(carry)]
     base = docs.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"), *extra)
     spanned = base.withColumn("__base", base_spans(F.col("__text")))
     found = materialize(spanned.filter(F.size("__base") > 0).withColumn("__uid", F.monotonically_increasing_id()), "pii-found")
     revealing = materialize(disclosing_terms(found, base, min_support, generalise_at), "pii-terms")
-    marked = (
-        found.select("__uid", F.explode(terms(F.col("__text"))).alias("term"))
-        .join(broadcast_if(revealing, revealing.count(), BROADCAST_TERMS), "term")
-        .groupBy("__uid")
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("__rates"))
-    )
-    joined = found.join(marked, "__uid", "left")
+    key = hash128(F.col("__id"), F.col("__text"))
+    rates = F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("__rates")
+    held = (base if everywhere else found).select(key.alias("__key"), F.explode(terms(F.col("__text"))).alias("term"))
+    marked = held.join(broadcast_if(revealing, revealing.count(), BROADCAST_TERMS), "term").groupBy("__key").agg(rates)
+    clean = spanned.filter(F.size("__base") == 0).withColumn("__base", F.array().cast(SPAN))
+    joined = found.drop("__uid").unionByName(clean) if everywhere else found
+    joined = joined.withColumn("__key", key).join(marked.hint("shuffle_hash"), "__key", "left")
     inside = lambda t: F.exists("__base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
     hits = F.filter(spans_of(F.col("__text"), TERM, 4, lambda m: F.array_contains(F.map_keys("__rates"), F.lower(m))), lambda t: ~inside(t))
     joined = joined.withColumn("__terms", F.when(F.col("__rates").isNotNull(), hits).otherwise(F.array().cast(SPAN)))
@@ -195,9 +201,11 @@ def find_pii(docs: DataFrame, min_support: int = 5, generalise_at: float = 0.8,
     names = [F.col(f"__carry{i}").alias(c) for i, c in enumerate(carry)]
     count = [_count_kind(k).alias(f"n_{KINDS[k]}") for k in range(4)]
     with_spans = joined.select(F.col("__id").alias(id_col), *names, *count, F.col("__base").alias("base"), F.col("__all").alias("spans"), sanitised.alias(text_col))
+    if everywhere:
+        return with_spans
     zeros = [F.lit(0).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     none = F.array().cast(SPAN)
-    without = spanned.filter(F.size("__base") == 0).select(F.col("__id").alias(id_col), *names, *zeros, none.alias("base"), none.alias("spans"), F.col("__text").alias(text_col))
+    without = clean.select(F.col("__id").alias(id_col), *names, *zeros, none.alias("base"), none.alias("spans"), F.col("__text").alias(text_col))
     return with_spans.unionByName(without)
 
 
@@ -212,5 +220,5 @@ def spans_text(spans: Column, kinds: Sequence[str] = KINDS) -> Column:
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
-    out = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"), everywhere=True)
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))

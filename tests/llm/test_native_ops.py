@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.fingerprint import as_string, containment, distinct_shingles, edited_fingerprints, fingerprint, merge, resemblance
 from tessella.llm.line_dedup import line_dedup
-from tessella.llm.pii import find_pii, spans_text
+from tessella.llm.pii import find_pii, op3_pii, spans_text
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, n_lines long"
@@ -128,6 +128,23 @@ def test_pii_terms_of_one_value_are_marked_and_copies_are_no_evidence(spark):
     assert "Quirrel" in term(0) and "Sprout" not in term(100) and "Flitwick" in term(700)
 
 
+def test_pii_terms_are_marked_in_documents_without_an_entity(spark, tmp_path):
+    rows = [(i, f"write to u{i}@example.org courtesy of Quirrel and others") for i in range(8)] + [(100 + i, f"clean text number {i} and others of them write to") for i in range(60)]
+    rows += [(200, "Quirrel alone, and quirrel again"), (200, "Quirrel alone, and quirrel again"), (200, "others"), (None, "by Quirrel"), (201, None), (202, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((repr(r.doc_id), r.text, [(s.s, s.v) for s in r.spans]) for r in find_pii(docs, everywhere=True).collect())
+    assert [x for x in out if x[0] in ("200", "201", "202", "None")] == [
+        ("200", "[term] alone, and [term] again", [(0, "Quirrel"), (19, "quirrel")]), ("200", "[term] alone, and [term] again", [(0, "Quirrel"), (19, "quirrel")]), ("200", "others", []),
+        ("201", "", []), ("202", "", []), ("None", "by [term]", [(3, "Quirrel")]),
+    ]
+    base = {r.doc_id: (r.text, r.spans) for r in find_pii(docs).filter("doc_id < 200").collect()}
+    assert {r.doc_id: (r.text, r.spans) for r in find_pii(docs, everywhere=True).filter("doc_id < 200").collect()} == base
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = op3_pii(spark, str(tmp_path))
+    assert [(r.n_email, r.spans) for r in found.filter("doc_id = 200").orderBy("spans").collect()] == [(0, ""), (0, "term:0:7,term:19:26"), (0, "term:0:7,term:19:26")]
+    assert found.count() == len(rows)
+
+
 def brute_fingerprint_sets(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
