@@ -35,6 +35,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 from math import log
 
 import pyarrow as pa
@@ -49,6 +50,8 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Zipf-Mandelbrot shift of a piece's rank.
 RANK_SHIFT = 100.0
 MARK = "▁"
+#: Stands for a mark in a text while spaces are marks; a lone surrogate is in no piece.
+NO_PIECE = "\ud800"
 #: Scores this much below the worst piece's make byte pieces the last resort.
 BYTE_PENALTY = 10.0
 #: Remembered cuts in a worker, in two generations of this size, and the longest one that is remembered.
@@ -56,6 +59,23 @@ CACHE_CUTS, CACHE_CHARS = 40_000, 40
 WORST = -1e300
 
 
+class _Cuts(dict):
+    """Ids of cuts, remembered in two generations; a cut that is not there is searched."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary, self.older = vocabulary, {}
+
+    def __missing__(self, cut: str) -> tuple[int, ...]:
+        if len(cut) > CACHE_CHARS:
+            return tuple(self.vocabulary.stream(cut))
+        found = self.older.get(cut) or self.vocabulary._short(cut)
+        if len(self) >= CACHE_CUTS:
+            self.older = dict(self)
+            self.clear()
+        self[cut] = found
+        return found
+
+
 @dataclass
 class Vocabulary:
     """pieces: surface -> (id, score); byte_ids: the id of each byte; surfaces: id -> surface, or None for a byte piece over 0x7F."""
@@ -67,13 +87,20 @@ class Vocabulary:
     longest: int = field(init=False)
 
     def __post_init__(self) -> None:
-        # Nested dictionaries by character; the key 0 holds the score of the piece that ends there.
-        self.trie = {}
-        for piece, (_, score) in self.pieces.items():
-            node = self.trie
+        # A node by character: the nodes after it (None at a leaf), and the score and id of the piece that ends there (None without one).
+        grown: dict = {}
+        for piece, (i, score) in self.pieces.items():
+            children, node = grown, None
             for c in piece:
-                node = node.setdefault(c, {})
-            node[0] = score
+                node = children.setdefault(c, [{}, None, None])
+                children = node[0]
+            if node is not None:
+                node[1:] = score, i
+
+        def settled(children: dict) -> dict | None:
+            return {c: (settled(below), score, i) for c, (below, score, i) in children.items()} or None
+
+        self.trie = settled(grown) or {}
         self.longest = max(map(len, self.pieces), default=1)
         self.fallback = min((s for _, s in self.pieces.values()), default=0.0) - BYTE_PENALTY
         self.of_byte = {b: i for i, b in enumerate(self.byte_ids)}
@@ -82,8 +109,7 @@ class Vocabulary:
         alone = "\n" not in held
         # Cuts at which every path converges; none are safe if a piece crosses a space.
         self.cuts = None if crossed else re.compile(r" +[^ \n]*|[^ \n]+|\n" if alone else r" +[^ ]*|[^ ]+")
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.cache = _Cuts(self)
 
     def __reduce__(self):
         return Vocabulary, (self.pieces, self.byte_ids, self.surfaces)
@@ -117,77 +143,64 @@ class Vocabulary:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        text, ids = " " + text, []
+        text = " " + text
         if self.cuts is None:
-            ids.extend(self.stream(text))
-            return ids
-        cache = self.cache
-        for cut in self.cuts.findall(text):
-            known = cache.get(cut)
-            if known is None:
-                if len(cut) > CACHE_CHARS:
-                    ids.extend(self.stream(cut))
-                    continue
-                known = self.older.get(cut) or self._short(cut)
-                if len(cache) >= CACHE_CUTS:
-                    self.older, self.cache = cache, {}
-                    cache = self.cache
-                cache[cut] = known
-            ids.extend(known)
-        return ids
+            return list(self.stream(text))
+        return list(chain.from_iterable(map(self.cache.__getitem__, self.cuts.findall(text))))
 
     def forget(self) -> None:
         """Drops the remembered cuts."""
-        self.cache, self.older = {}, {}
+        self.cache = _Cuts(self)
 
     def _short(self, text: str) -> tuple[int, ...]:
         """Ids of a text that fits into one window."""
         n = len(text)
-        score, back = [0.0] + [WORST] * n, [0] * (n + 1)
-        self._relax(text.replace(MARK, "\0").replace(" ", MARK), 0, n, score, back)
-        return tuple(self._ids(text, back, n))
+        score, back, held = [0.0] + [WORST] * n, [0] * (n + 1), [None] * (n + 1)
+        self._relax(text.replace(MARK, NO_PIECE).replace(" ", MARK), 0, n, score, back, held)
+        return tuple(self._ids(text, back, held, n))
 
-    def _relax(self, marked: str, first: int, last: int, score: list[float], back: list[int]) -> None:
-        """Extends the paths at positions first .. last - 1 of `marked` by one piece."""
+    def _relax(self, marked: str, first: int, last: int, score: list[float], back: list[int], held: list[int | None]) -> None:
+        """Extends the paths at positions first .. last - 1 of `marked` by one piece; held: the id of a position's last piece, None for bytes."""
         trie, fallback, n = self.trie, self.fallback, len(marked)
         for start in range(first, last):
-            at = score[start]
-            node, end = trie, start
-            while end < n:
-                node = node.get(marked[end])
-                if node is None:
-                    break
-                end += 1
-                if 0 in node:
-                    total = at + node[0]
-                    if total > score[end]:
-                        score[end], back[end] = total, start
+            at, end = score[start], start
             node = trie.get(marked[start])
-            if (node is None or 0 not in node) and at + fallback > score[start + 1]:
-                score[start + 1], back[start + 1] = at + fallback, start
+            if (node is None or node[1] is None) and at + fallback > score[start + 1]:
+                score[start + 1], back[start + 1], held[start + 1] = at + fallback, start, None
+            while node is not None:
+                end += 1
+                children, gain, piece = node
+                if gain is not None and at + gain > score[end]:
+                    score[end] = at + gain
+                    back[end] = start
+                    held[end] = piece
+                if children is None or end == n:
+                    break
+                node = children.get(marked[end])
 
     def stream(self, text: str) -> Iterator[int]:
         """Ids of a text whose spaces are still spaces; each step reads one maximum piece length, then commits what all paths share."""
         longest, n = self.longest, len(text)
-        # For position base + k: best score so far and the start of its last piece.
-        base, score, back = 0, [0.0], [0]
+        # For position base + k: best score so far, the start of its last piece and that piece's id.
+        base, score, back, held = 0, [0.0], [0], [None]
         done = 0
         while done < n:
             step = min(n, done + longest)
             missing = min(n, step + longest) + 1 - base - len(score)
             score.extend([WORST] * missing)
             back.extend([0] * missing)
-            marked = text[base : step + longest].replace(MARK, "\0").replace(" ", MARK)
-            self._relax(marked, done - base, step - base, score, back)
+            held.extend([None] * missing)
+            marked = text[base : step + longest].replace(MARK, NO_PIECE).replace(" ", MARK)
+            self._relax(marked, done - base, step - base, score, back, held)
             done = step
             live = {p for p in range(done - base, len(score)) if score[p] > WORST}
             boundary = self._converged(back, live) if done < n else 0
             if boundary > 0:
-                yield from self._ids(text[base : base + boundary], back, boundary)
-                del score[:boundary], back[:boundary]
+                yield from self._ids(text[base : base + boundary], back, held, boundary)
+                del score[:boundary], back[:boundary], held[:boundary]
                 back = [b - boundary for b in back]
                 base += boundary
-        yield from self._ids(text[base:], back, n - base)
+        yield from self._ids(text[base:], back, held, n - base)
 
     @staticmethod
     def _converged(back: list[int], live: set[int]) -> int:
@@ -198,18 +211,17 @@ class Vocabulary:
             live.add(back[p])
         return live.pop()
 
-    def _ids(self, text: str, back: list[int], end: int) -> list[int]:
+    def _ids(self, text: str, back: list[int], held: list[int | None], end: int) -> list[int]:
         out: list[int] = []
         while end > 0:
-            start = back[end]
-            piece = text[start:end]
-            found = self.pieces.get(piece.replace(" ", MARK)) if MARK not in piece else None
-            if found is None:
-                out.extend(self.byte_ids[b] for b in reversed(piece.encode()))
+            start, piece = back[end], held[end]
+            if piece is None:
+                out.extend(self.byte_ids[b] for b in reversed(text[start:end].encode()))
             else:
-                out.append(found[0])
+                out.append(piece)
             end = start
-        return out[::-1]
+        out.reverse()
+        return out
 
     def decode(self, ids: Sequence[int]) -> str:
         surfaces = self.surfaces

@@ -73,6 +73,18 @@ def test_vocabulary_whose_pieces_cross_spaces_streams_whole_texts():
         assert score_of(v, v.encode(text)) == pytest.approx(full_viterbi(v, text))
 
 
+def test_remembered_cuts_are_bounded_and_a_mark_in_a_text_is_no_null_character(vocabulary, monkeypatch):
+    text = " ".join(f"w{i % 7} x{i % 11}, {'long' * 15}{i}" for i in range(60))
+    ids = vocabulary.encode(text)
+    monkeypatch.setattr("tessella.llm.sentencepiece_codec.CACHE_CUTS", 5)
+    vocabulary.forget()
+    assert vocabulary.encode(text) == ids == list(vocabulary.stream(" " + text)) and 0 < len(vocabulary.cache) <= 5
+    vocabulary.forget()
+    pieces = {p: (300 + i, s) for i, (p, s) in enumerate([(MARK, -3.0), ("a", -2.0), ("b", -2.0), ("a\0b", -1.0)])}
+    v = Vocabulary(pieces, list(range(256)), [None] * 300 + [p.replace(MARK, " ") for p in pieces])
+    assert v.encode(f"a{MARK}b") == [300, 301, *MARK.encode(), 302] and v.encode("a\0b") == [300, 303]
+
+
 def test_encode_and_decode_tables(spark, vocabulary):
     rows = [(1, "Some text.", "n"), (1, "Some text.", "n"), (None, None, "n"), (2, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
