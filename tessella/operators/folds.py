@@ -2,118 +2,109 @@
 
 Without loss every neighbour is an original sample, so context, mode and
 prediction of a sample need no state.  What is adaptive is a fold by key:
-each regular context of a scan by itself, the run order over the runs
-alone, and the two run-interruption contexts.  Three shuffles: by scan for
-the windows, by (scan, context) for the folds, and back by scan to pack.
-A group never holds more than one scan.
+each regular context of a scan by itself, and the scan's runs with their
+interruptions under key 0, a context that no regular sample has.  Three
+shuffles: by scan for the windows, by (scan, key) for the folds, and back
+by scan to pack.  A scan has up to 365 keys of a few samples each, so that
+a fold streams sorted rows, all keys of a task one after the other;
+packing never holds more than one scan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.codec.scan import RUN_ORDERS, Encoder, Model, default_presets, stuff
 from tessella.operators.corpus import spread
-from tessella.operators.template import contexts, modes, neighbours, runs
-
-CODES = "image_id long, component int, y int, x int, part int, high long, bits long, length int"
-
-
-class _Fold(Encoder):
-    """The sequential coder's symbol steps, fed with one key's symbols."""
-
-    def __init__(self, bits: int):
-        super().__init__(Model(bits, 0, default_presets((1 << bits) - 1, 0)))
-        self.begin()
-
-    def taken(self) -> str:
-        word = "".join(self.words)
-        self.words.clear()
-        return word
+from tessella.operators.template import contexts, modes, neighbours, run_lengths
 
+KEY = ["image_id", "component", "key"]
+CODES = "image_id long, component int, y int, x int, word binary"
 
-def regular_codes(rows: DataFrame, bits: int) -> DataFrame:
-    """Code words of regular samples: a fold by (scan, context)."""
 
-    def fold(t: pa.Table) -> pa.Table:
-        t = _in_order(t)
-        f = _Fold(bits)
-        regular, words, out = f.regular, f.words, []
-        for q, ra, rb, rc, x in zip(*(t.column(c).to_pylist() for c in ("ctx", "ra", "rb", "rc", "sample")), strict=True):
-            regular(q, ra, rb, rc, x)
-            out.append(words.pop())
-        return _codes(t, out, 1)
+@lru_cache(maxsize=1 << 16)
+def to_bytes(word: str) -> bytes:
+    """A bit string behind a leading 1, as bytes."""
+    value = int("1" + word, 2)
+    return value.to_bytes((value.bit_length() + 7) // 8, "big")
 
-    rows = rows.filter("mode = 'regular'").select("image_id", "component", "y", "x", F.abs("ctx").alias("key"), "ctx", "ra", "rb", "rc", "sample")
-    return spread(rows, "image_id", "component", "key").groupBy("image_id", "component", "key").applyInArrow(fold, CODES)
 
+@lru_cache(maxsize=1 << 16)
+def from_bytes(data: bytes) -> str:
+    return format(int.from_bytes(data, "big"), "b")[1:]
 
-def _in_order(t: pa.Table) -> pa.Table:
-    return t.sort_by([("y", "ascending"), ("x", "ascending")])
 
+class _Fold(Encoder):
+    """The sequential coder's symbol steps, fed with one key's symbols after another's."""
 
-def _codes(t: pa.Table, words: list[str], part: int) -> pa.Table:
-    """Code words as numbers with their lengths; those over 63 bits (an escape of a wide sample) are cut in two."""
-    n = len(words)
-    head = [w[:-32] if len(w) > 62 else "" for w in words]
-    value = lambda w: int(w, 2) if w else 0
-    return pa.table({
-        "image_id": t.column("image_id").cast(pa.int64()), "component": t.column("component").cast(pa.int32()), "y": t.column("y").cast(pa.int32()), "x": t.column("x").cast(pa.int32()), "part": pa.array([part] * n, pa.int32()),
-        "high": pa.array([value(h) for h in head], pa.int64()), "bits": pa.array([value(w[len(h) :]) for w, h in zip(words, head, strict=True)], pa.int64()), "length": pa.array([len(w) for w in words], pa.int32()),
-    })
-
-
-def run_codes(found: DataFrame) -> DataFrame:
-    """Code words of runs with the run order at each one's end: a fold over a scan's runs."""
-
-    def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("y", "ascending"), ("x", "ascending")])
-        index, words, orders = 0, [], []
-        for length, whole in zip(t.column("length").to_pylist(), t.column("end_of_line").to_pylist(), strict=True):
-            word = ""
-            while length >= 1 << RUN_ORDERS[index]:
-                word, length, index = word + "1", length - (1 << RUN_ORDERS[index]), min(31, index + 1)
-            if whole:
-                words.append(word + "1" * bool(length))
-                orders.append(None)
-            else:
-                words.append(word + format(length, f"0{RUN_ORDERS[index] + 1}b"))
-                orders.append(RUN_ORDERS[index])
-                index = max(0, index - 1)
-        return _codes(t, words, 0).append_column("j", pa.array(orders, pa.int32())).append_column("stop", pa.compute.add(t.column("x"), t.column("length")).cast(pa.int32()))
-
-    return found.withColumnRenamed("x0", "x").groupBy("image_id", "component").applyInArrow(fold, f"{CODES}, j int, stop int")
-
-
-def interruption_codes(rows: DataFrame, coded_runs: DataFrame, bits: int) -> DataFrame:
-    """Code words of interruption samples: a fold by (scan, kind)."""
-
-    def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("y", "ascending"), ("x", "ascending")])
-        f, words = _Fold(bits), []
-        for kind, ra, rb, x, j in zip(*(t.column(c).to_pylist() for c in ("kind", "ra", "rb", "sample", "j")), strict=True):
-            f.run_index = RUN_ORDERS.index(j)
-            f.interrupt(kind, ra, rb, x)
-            words.append(f.taken())
-        return _codes(t, words, 1)
+    def __init__(self, bits: int):
+        super().__init__(Model(bits, 0, default_presets((1 << bits) - 1, 0)))
+        self.first = self.model.state[0]
+        self.begin()
 
-    stops = coded_runs.filter("j IS NOT NULL").select("image_id", "component", "y", F.col("stop").alias("x"), "j")
-    rows = rows.filter("mode = 'interrupt'").withColumn("kind", (F.col("ra") == F.col("rb")).cast("int"))
-    return rows.join(stops, ["image_id", "component", "y", "x"]).groupBy("image_id", "component", "kind").applyInArrow(fold, CODES)
+    def start(self, key: int) -> None:
+        """The key's state at the start of a scan."""
+        m, a = self.model, self.first[0]
+        if key:
+            m.state[key] = self.first
+        else:
+            self.run_index, m.run_a, m.run_n, m.run_nn = 0, [a, a], [1, 1], [0, 0]
+
+    def run_end(self, length: int, whole: bool, ra: int, rb: int, x: int) -> str:
+        """The code word of a run, and of the sample that interrupts it if it does not last for the whole of its line."""
+        word, index = "", self.run_index
+        while length >= 1 << RUN_ORDERS[index]:
+            word, length, index = word + "1", length - (1 << RUN_ORDERS[index]), min(31, index + 1)
+        self.run_index = index
+        if whole:
+            return word + "1" * bool(length)
+        self.interrupt(int(ra == rb), ra, rb, x)
+        self.run_index = max(0, index - 1)
+        return word + format(length, f"0{RUN_ORDERS[index] + 1}b") + self.words.pop()
+
+
+def symbols(rows: DataFrame) -> DataFrame:
+    """The rows that have a code word, with their key: regular samples, and the ends of runs."""
+    rows = run_lengths(rows).filter("mode = 'regular' OR length IS NOT NULL")
+    key = F.when(F.col("mode") == "regular", F.abs("ctx")).otherwise(0).alias("key")
+    return rows.select(F.col("image_id").cast("long"), F.col("component").cast("int"), key, F.col("y").cast("int"), F.col("x").cast("int"), "ctx", "ra", "rb", "rc", "sample", "length", (F.col("mode") == "run").alias("whole"))
+
+
+def code_words(found: DataFrame, bits: int) -> DataFrame:
+    """Code words of symbols(): a fold by (scan, key)."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, at = _Fold(bits), None
+        regular, words = f.regular, f.words
+        for t in batches:
+            out = []
+            for image_id, component, key, q, ra, rb, rc, x, length, whole in zip(*(t.column(c).to_pylist() for c in (*KEY, "ctx", "ra", "rb", "rc", "sample", "length", "whole")), strict=True):
+                if (image_id, component, key) != at:
+                    at = image_id, component, key
+                    f.start(key)
+                if key:
+                    regular(q, ra, rb, rc, x)
+                    out.append(to_bytes(words.pop()))
+                else:
+                    out.append(to_bytes(f.run_end(length, whole, ra, rb, x)))
+            names = ["image_id", "component", "y", "x"]
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in names), pa.array(out, pa.binary())], names=[*names, "word"])
+
+    return spread(found, *KEY).sortWithinPartitions(*KEY, "y", "x").mapInArrow(fold, CODES)
 
 
 def encode_lossless(lines: DataFrame, bits: int) -> DataFrame:
     """(image_id, component, data): coded data of every planar scan."""
-    rows = modes(contexts(neighbours(lines), bits))
-    coded_runs = run_codes(runs(rows))
-    words = regular_codes(rows, bits).unionByName(coded_runs.drop("j", "stop")).unionByName(interruption_codes(rows, coded_runs, bits))
+    words = code_words(symbols(modes(contexts(neighbours(spread(lines, "image_id")), bits))), bits)
 
     def pack(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("y", "ascending"), ("x", "ascending"), ("part", "ascending")])
-        whole = zip(*(t.column(c).to_pylist() for c in ("high", "bits", "length")), strict=True)
-        text = "".join([format((high << 32) + low if length > 62 else low, f"0{length}b") if length else "" for high, low, length in whole])
+        t = t.sort_by([("y", "ascending"), ("x", "ascending")])
+        text = "".join(map(from_bytes, t.column("word").to_pylist()))
         return pa.table({"image_id": t.column("image_id")[:1], "component": t.column("component")[:1], "data": pa.array([stuff(text)], pa.binary())})
 
     return spread(words, "image_id", "component").groupBy("image_id", "component").applyInArrow(pack, "image_id long, component int, data binary")

@@ -379,7 +379,9 @@ def dataflow_equals_kernel(spark, sf_dir):
 def k07_bytes_written(spark, sf_dir):
     """A file's size is that of its segments and coded data: 2 + 13 + 10 + data + 2 bytes for a plain gray image."""
     lines = embedding_lines(spark, sf_dir)
-    return encode_lossless(lines, 8).join(corpus.encode_lines(lines, 8), "image_id").select("image_id", (F.octet_length("content") == F.octet_length("data") + 27).alias("equal"))
+    data = encode_lossless(lines, 8).select("image_id", F.octet_length("data").alias("data"))
+    files = corpus.encode_lines(lines, 8).select("image_id", F.octet_length("content").alias("content"))
+    return data.join(files, "image_id").select("image_id", (c("content") == c("data") + 27).alias("equal"))
 
 
 @query("p21_headers", f"{IMAGES_SQL} SELECT image_id, 64 AS width, (max(y) + 1)::INT AS height, 8 AS bits, 1 AS components, 3 AS near, 0 AS ilv, 1 AS data_format, 0 AS errc FROM img GROUP BY 1")
